@@ -13,6 +13,7 @@ from .html_text import extract_main_text
 from .mixing import mix
 from .quality_rules import quality_rules
 from .sharding import shard_by_bytes
+from .substring_dedup import dedup_substrings
 from .warc import archive_pages
 
 
@@ -39,6 +40,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_bpe": op10_bpe,

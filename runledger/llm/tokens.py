@@ -136,3 +136,15 @@ def windows_inside(first: np.ndarray, k: int) -> np.ndarray:
     for e in np.unique(first[1:-1]):  # a border between texts
         ok[max(0, e - k + 1) : e] = False
     return ok
+
+
+def repeats(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each item: does an equal one stand in its group, and does an equal one stand earlier there?"""
+    order = np.argsort(mix64(keys ^ mix64(group.astype(np.uint64))), kind="stable")
+    k, g = keys[order], group[order]
+    same = (k[1:] == k[:-1]) & (g[1:] == g[:-1])
+    anywhere, earlier = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+    earlier[order[1:]] = same
+    anywhere[order[1:]] = same
+    anywhere[order[:-1]] |= same
+    return anywhere, earlier
