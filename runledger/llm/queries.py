@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .html_text import extract_main_text
 from .mixing import mix
+from .near_dedup import near_dedup
 from .quality_rules import quality_rules
 from .sharding import shard_by_bytes
 from .substring_dedup import dedup_substrings
@@ -59,6 +60,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
 }
 
