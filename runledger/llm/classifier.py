@@ -131,21 +131,43 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_rows: int):
+    """A function from words to scores; the weights it broadcasts have a fixed size."""
+    model = fit(training_sample(docs, labels, sample_rows, id_col, text_col))
+    weights = docs.sparkSession.sparkContext.broadcast(model.weights())
+
+    def scores(words: Words) -> np.ndarray:
+        w = weights.value
+        return 1.0 / (1.0 + np.exp(-np.clip(margins(words, w, w[DIM]), -35, 35)))
+
+    return scores
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least THRESHOLD. Rows pass through in one scan, without a join."""
+    scores = _scorer(docs, labels, id_col, text_col, sample_rows)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch, words in pieces(batches, at):
+            yield batch.filter(pa.array(scores(words) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     The score is a function of the text alone; null and empty texts get the bias's score. Rows whose
     crc32 of the id leaves 2 modulo 4 are never learnt from; a null id is not held out. Without
     labels all scores are 0.5. Repeated rows get equal scores; an empty table gives an empty result;
-    other columns are not read. The weights broadcast have a fixed size.
+    other columns are not read.
     """
-    model = fit(training_sample(docs, labels, sample_rows, id_col, text_col))
-    weights = docs.sparkSession.sparkContext.broadcast(model.weights())
+    scores = _scorer(docs, labels, id_col, text_col, sample_rows)
 
     def score(batches):
-        w = weights.value
         for batch, words in pieces(batches, 1):
-            s = 1.0 / (1.0 + np.exp(-np.clip(margins(words, w, w[DIM]), -35, 35)))
+            s = scores(words)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
