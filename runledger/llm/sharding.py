@@ -69,7 +69,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     """One row per document: doc_id, size, text_crc32, shard, slot, key.
 
     size is the text's UTF-8 bytes plus 8, null having none. Shards are ranges of the key with
-    nearly equal bytes; slot numbers a shard's rows from 0 without gaps, by (key, doc_id, size).
+    nearly equal bytes; slot numbers a shard's rows from 0 without gaps, by the id's hash.
     Repeated rows each get a slot; a null id is hashed as empty; an empty table gives an empty
     result; other columns are not read.
     """
@@ -85,7 +85,9 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
         return F.when(F.col("key") < F.lit(cuts[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
 
     placed = rows.withColumn("shard", place(0, len(cuts)).cast("int"))
-    return running_sum(placed, ["shard"], "key", ["doc_id", "size"], F.lit(1).cast("long"), "slot", KEY_BITS)
+    # Slots follow the id's hash, the key's low half: the key itself would lay a hot group's rows side by side.
+    placed = placed.withColumn("own", F.col("key").bitwiseAND(F.lit((1 << 31) - 1)))
+    return running_sum(placed, ["shard"], "own", ["key", "doc_id", "size"], F.lit(1).cast("long"), "slot", 31).drop("own")
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", rows_per_file: int = 1_000_000) -> None:

@@ -20,15 +20,16 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import materialize
 from .tokens import Words, _power_tables, mix64, pieces, repeats, window_hashes, windows_inside
 
-LENGTH, K = 20, 6
+LENGTH, K = 20, 8
 LAST = (1 << 63) - 1
-#: Documents whose lists of spans (a few hundred bytes each) are broadcast at most.
-BROADCAST_DOCS = 60_000
+#: Bytes of span lists that are broadcast at most; beyond, texts and lists meet in a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def anchors(h: np.ndarray, first: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,9 +64,10 @@ def anchors(h: np.ndarray, first: np.ndarray, length: int = LENGTH, k: int = K)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, and the row's key: did (null ids last) and th (hash of the text)."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("th"), "doc_id", "text")
+    """doc_id, text, and the row's key: did (null ids last) and th, the text's hash if ids repeat, else 0."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("did", F.coalesce("doc_id", F.lit(LAST)))
+    repeat = not d.groupBy("did").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return d.select("did", (F.xxhash64("text") if repeat else F.lit(0).cast("long")).alias("th"), "doc_id", "text")
 
 
 def segments(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -73,6 +75,9 @@ def segments(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         for b, w in pieces(batches, 2):
             a, u, start, n = anchors(w.hashes(), w.first, length)
             text = np.searchsorted(w.first, start, "right") - 1
+            # What comes again in its own text is found there later.
+            _, earlier = repeats(mix64(a ^ mix64(u)), text)
+            a, u, start, n, text = (x[~earlier] for x in (a, u, start, n, text))
             did, th = (b.column(i).to_numpy()[text] for i in (0, 1))
             s = (start - w.first[text]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(u.view(np.int64)), pa.array(did), pa.array(th), pa.array(s), pa.array(n.astype(np.int32))], ["a", "u", "did", "th", "s", "n"])
@@ -81,38 +86,51 @@ def segments(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _with_lists(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    return rows.join(broadcast_if_small(lists, BROADCAST_DOCS), ["did", "th"], how)
+    n, spans = lists.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    small = 80 * n + 8 * (spans or 0) <= BROADCAST_BYTES
+    return rows.join(F.broadcast(lists) if small else lists, ["did", "th"], how)
+
+
+def maximal(spans: DataFrame) -> DataFrame:
+    """Join spans (did, th, s, e) of a document that touch or overlap."""
+    row = W.partitionBy("did", "th").orderBy("s", "e")
+    new = F.coalesce(F.col("s") > F.max("e").over(row.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    marked = spans.withColumn("new", new.cast("int")).withColumn("g", F.sum("new").over(row.rowsBetween(W.unboundedPreceding, 0)))
+    return marked.groupBy("did", "th", "g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("g")
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(did, th, s, e): spans of words all of whose windows also start in an earlier document."""
+    """(did, th, s, e): maximal spans of words all of whose windows also start in an earlier document.
+
+    Tables that a hot anchor's rows are joined with are written first: Spark can split such a join only where
+    both sides are plain exchanges.
+    """
     every = materialize(segments(rows, length), "repeat-segments")
-    again = every.groupBy("a").agg(F.count("*").alias("_n")).where("_n > 1").select("a")
+    again = materialize(every.groupBy("a").agg(F.count("*").alias("_n")).where("_n > 1").select("a"), "repeat-anchors")
     seg = materialize(every.join(again, "a"), "repeat-seeds")
     contents = materialize(seg.groupBy("a", "u").agg(F.min("did").alias("first")), "repeat-contents")
     known = seg.join(contents, ["a", "u"])
     whole = known.where("did > first").select("did", "th", "s", (F.col("s") + F.col("n") - 1 + length).alias("e"))
-    contested = contents.groupBy("a").agg(F.count("*").alias("_n")).where("_n > 1").select("a")
+    contested = materialize(contents.groupBy("a").agg(F.count("*").alias("_n")).where("_n > 1").select("a"), "repeat-contested")
     is_open = known.where("did = first").join(contested, "a", "left_semi")
-    lists = materialize(is_open.groupBy("did", "th").agg(F.collect_set(F.struct("s", "n", "a")).alias("spans")), "repeat-open")
+    lists = materialize(is_open.groupBy("did", "th").agg(F.collect_list(F.struct("s", "n")).alias("spans")), "repeat-open")
 
     def windows(batches):
         for b, w in pieces(batches, 2):
             h = window_hashes(w.hashes(), length).view(np.int64)
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], []]
             for i, spans in enumerate(b.column(3)):
-                v = spans.values
-                s, n, a = (v.field(x).to_numpy() for x in ("s", "n", "a"))
+                s, n = (spans.values.field(x).to_numpy() for x in ("s", "n"))
                 at = np.repeat(s - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                for c, x in zip(cols, (np.repeat(a, n), h[w.first[i] + at], np.full(len(at), b.column(0)[i].as_py()), np.full(len(at), b.column(1)[i].as_py()), at.astype(np.int32)), strict=True):
+                for c, x in zip(cols, (h[w.first[i] + at], np.full(len(at), b.column(0)[i].as_py()), np.full(len(at), b.column(1)[i].as_py()), at.astype(np.int32)), strict=True):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["a", "w", "did", "th", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["w", "did", "th", "s"])
 
     found = _with_lists(rows.select("did", "th", "text"), lists, "inner").select("did", "th", "text", "spans")
-    win = materialize(found.mapInArrow(windows, "a long, w long, did long, th long, s int"), "repeat-windows")
-    first = win.groupBy("a", "w").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("last > first").select("a", "w", "first")
-    single = win.join(first, ["a", "w"]).where("did > first").select("did", "th", "s", (F.col("s") + length).alias("e"))
-    return whole.unionByName(single)
+    win = materialize(found.mapInArrow(windows, "w long, did long, th long, s int"), "repeat-windows")
+    first = win.groupBy("w").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("last > first").select("w", "first")
+    single = win.join(materialize(first, "repeat-firsts"), "w").where("did > first").select("did", "th", "s", (F.col("s") + length).alias("e"))
+    return maximal(whole.unionByName(single))
 
 
 def remove(w: Words, covered: np.ndarray, i: int) -> tuple[int, list[bytes]]:
@@ -130,7 +148,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows repeated whole keep the same words. An empty table gives an empty result; other columns are not read.
     """
     rows = _rows(docs, id_col, text_col)
-    spans = repeated_spans(rows, length).groupBy("did", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = repeated_spans(rows, length).groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     lists = materialize(spans, "repeat-spans")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
 
