@@ -57,7 +57,7 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     quota = F.ceil(F.floor("target") / block_words).cast("long")
     t = targets.withColumn("quota", quota).where("quota > 0")
     upto = F.sum("target").over(W.partitionBy(F.lit(0)).orderBy("skey").rowsBetween(W.unboundedPreceding, 0))
-    t = materialize(t.withColumn("_hi", upto / F.col("total")).withColumn("_lo", F.col("_hi") - F.col("target") / F.col("total")), "mix-targets")
+    t = materialize(t.withColumn("_hi", F.try_divide(upto, F.col("total"))).withColumn("_lo", F.col("_hi") - F.try_divide(F.col("target"), F.col("total"))), "mix-targets")
     n = t.agg(F.sum("quota")).first()[0] or 0
     cell = lambda c: F.least(F.floor(c * CELLS), F.lit(CELLS - 1)).cast("int")
     stretches = t.select("skey", "quota", "_lo", "_hi", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))).alias("_cell"))
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     laid = laid.join(known, "skey")
     # A document shows up once in each pass over its source; each time it spans one or more blocks.
     upto = F.floor("target").cast("long")
-    passes = F.ceil(F.floor("target") / F.col("source_size")).cast("int")
+    passes = F.ceil(F.try_divide(F.floor("target"), F.col("source_size"))).cast("int")
     seen = laid.where(passes > 0).select("*", F.explode(F.sequence(F.lit(0), passes - 1)).alias("_pass"))
     seen = seen.withColumn("_from", F.col("start") + F.col("_pass") * F.col("source_size"))
     seen = seen.withColumn("_to", F.least(F.col("_from") + F.col("size"), upto)).where("_to > _from")
