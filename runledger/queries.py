@@ -7,11 +7,18 @@ sort as the bytes do.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys as K
 from .operators import merge, stats, versions
+from .plans.compaction import compact
+from .schema import LOG, Config
+from .sources.scratch import scratch_dir
+from .sources.table import VersionedTable
+from .streaming.ingest import ingest, newest_stream
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,3 +322,86 @@ def shared_prefixes(spark, sf_dir):
 def tagged_values(spark, sf_dir):
     rows = log(spark, sf_dir).select("seq", K.tag_value(K.text_key("key"), "value_type").alias("b"))
     return rows.select("seq", F.lower(F.hex("b")).alias("stored"), K.tag_of("b").cast("int").alias("tag"))
+
+
+def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log in the columns of a table; the value is the number's text."""
+    rows = binary_log(spark, sf_dir)
+    return rows.select("key", "seq", F.col("value_type").cast("tinyint").alias("value_type"), K.text_key(F.col("seq").cast("string")).alias("value"))
+
+
+def loaded_table(spark: SparkSession, sf_dir: str, runs: int = 4, **config) -> VersionedTable:
+    """A scratch table with the change log in some runs, oldest first."""
+    rows = stored_log(spark, sf_dir)
+    n = (rows.agg(F.max("seq")).first()[0] or 0) + 1
+    table = VersionedTable.create(spark, f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}", Config(min_merge_width=2, **config))
+    for i in range(runs):
+        table.append(rows.where(F.col("seq").between(n * i // runs, n * (i + 1) // runs - 1)))
+    return table
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select(F.lower(F.hex("key")).alias("key"), F.decode("value", "UTF-8").alias("value"))
+
+
+LIVE_SQL = _with("SELECT key, CAST(seq AS VARCHAR) AS value FROM newest WHERE value_type <> 2", True)
+
+
+@_query(LIVE_SQL)
+def table_scan(spark, sf_dir):
+    """Four runs, read together."""
+    return _shown(loaded_table(spark, sf_dir).scan())
+
+
+@_query(LIVE_SQL)
+def table_scan_after_compaction(spark, sf_dir):
+    """The runs merged into one without tombstones, the old ones vacuumed, the table opened anew."""
+    table = loaded_table(spark, sf_dir, bloom_filter_keys=100_000)
+    compact(table)
+    compact(table, compact_all=True)
+    table.vacuum()
+    return _shown(VersionedTable.open(spark, table.path).scan())
+
+
+@_query(_with("SELECT key, CAST(seq AS VARCHAR) AS value FROM newest WHERE value_type <> 2 AND key >= '2000000000000000' AND key <= '9fffffffffffffff'", True))
+def table_range_scan(spark, sf_dir):
+    return _shown(loaded_table(spark, sf_dir).scan(bytes.fromhex("2000000000000000"), bytes.fromhex("9fffffffffffffff")))
+
+
+@_query(f"WITH log AS (SELECT * FROM ({LOG_SQL}) WHERE seq < 4000), newest AS ({NEWEST_SQL}) SELECT key, CAST(seq AS VARCHAR) AS value FROM newest WHERE value_type <> 2")
+def table_snapshot(spark, sf_dir):
+    """A snapshot read of runs that hold one version a key, each run ending at the snapshot or before."""
+    table = loaded_table(spark, sf_dir, 1)
+    table.commit(runs=[])
+    rows = stored_log(spark, sf_dir)
+    table.append(rows.where("seq < 4000"), epoch=100)
+    table.append(rows.where("seq >= 4000"), epoch=101)
+    return _shown(table.scan(snapshot=4000))
+
+
+@_query(_with(f", p AS ({PROBES_SQL}) SELECT p.probe, CASE WHEN n.key IS NULL THEN 'KEY_NOT_FOUND' WHEN n.value_type = 2 THEN 'DELETED' ELSE 'OK' END AS status, CASE WHEN n.value_type <> 2 THEN CAST(n.seq AS VARCHAR) END AS value FROM p LEFT JOIN newest n USING (key)", True))
+def table_get_many(spark, sf_dir):
+    probes = events(spark, sf_dir).where("event_id < 300").select(F.col("event_id").alias("probe"), K.hash8("event_id").alias("key"))
+    return loaded_table(spark, sf_dir).get_many(probes).select("probe", "status", F.decode("value", "UTF-8").alias("value"))
+
+
+@_query(LIVE_SQL)
+def stream_ingest(spark, sf_dir):
+    """The log as a stream of four files, ingested batch by batch with compactions on the way."""
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stored_log(spark, sf_dir).repartition(4).write.parquet(f"{base}/in")
+    table = VersionedTable.create(spark, f"{base}/table", Config(min_merge_width=2))
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    ingest(table, stream, f"{base}/checkpoint", compact_every=3).trigger(availableNow=True).start().awaitTermination()
+    return _shown(table.refresh().scan())
+
+
+@_query(_with("SELECT key, seq, value_type FROM newest", True))
+def stream_newest(spark, sf_dir):
+    """The newest version of each key as a streaming aggregate, read when the stream has ended."""
+    base, name = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}", f"newest_{uuid.uuid4().hex}"
+    stored_log(spark, sf_dir).repartition(4).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    query = newest_stream(stream).writeStream.outputMode("complete").format("memory").queryName(name)
+    query.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.lower(F.hex("key")).alias("key"), "seq", F.col("value_type").cast("int").alias("value_type"))
