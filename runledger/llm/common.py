@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_dir
+
 #: The white space of all word rules: space, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,20 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see.
-
-    It is the cluster's spark.checkpoint.dir; only where that is unset (tests,
-    one machine) a folder of this session is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_runledger_scratch", None)
-        if base is None:
-            base = spark._runledger_scratch = "file://" + tempfile.mkdtemp(prefix="runledger-")
-    return f"{base.rstrip('/')}/runledger/{spark.sparkContext.applicationId}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, which cuts its lineage.
 
@@ -62,10 +49,6 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def is_local_path(path: str) -> bool:
-    return urlsplit(path).scheme in ("", "file")
-
-
 def hash60(*cols: Column) -> Column:
     """The first 60 bits of an MD5 as a long; other engines can compute it too."""
     text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
@@ -85,8 +68,6 @@ def running_sum(df: DataFrame, group: list[str], key: str, order: list[str], val
     three steps, over the leading 10 bits, the next 10, and the rest: each window
     holds at most 1024 sums, or a 2^20th part of the group's rows.
     """
-    from pyspark.sql import Window as W
-
     top, mid = F.shiftright(key, bits - 10), F.shiftright(key, bits - 20)
     rows = df.withColumn("_v", value).withColumn("_b", mid)
     same = [F.col(c) for c in group]
