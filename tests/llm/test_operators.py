@@ -192,6 +192,18 @@ def test_html(spark):
     assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_names_of_frames_and_of_what_is_not_the_article():
+    text = lambda body: html_text.main_text(f"<html><body class='has-menu'>{body}</body></html>", None)
+    article = "<article><header class='entry-header'><h1>T</h1></header><p>main</p><footer>by me</footer></article>"
+    assert text(f"<div class='layout-with-sidebar'>{article}</div>") == "T main"
+    assert text(f"<div class='sidebar-page'><div class='sidebar'>s</div>{article}</div>") == "T main"
+    assert text(f"<main>{article}<aside>x</aside></main><section class='related-posts'><article>teaser</article></section>") == "T main"
+    assert text(f"{article}<ol class='commentlist'><li><article>c</article></ol><div id='respond'>say</div>") == "T main"
+    assert text("<article><p>a<span class='ad-label'>Advert</span>b</p><div role='complementary'>r</div><p style='display: none'>h</p><p hidden>h</p></article>") == "ab"
+    assert text("<article><p>x<noscript>n</noscript><template>t</template><svg><title>s</title></svg></p><figure><img><figcaption>cap</figcaption></figure></article>") == "x cap"
+    assert text("<article><p>&#x41;&#66;&hellip;&nbsp;&lt;p&gt; &copy</p><pre>a\n  b</pre></article>") == "AB… <p> © a b"
+
+
 def test_wrappers_fold_repeats_and_mark_optional_parts():
     one = html_text.fold(html_text.parse("<body><div><p>a<p>b<p>c</div><h2>same</h2></body>"))
     two = html_text.fold(html_text.parse("<body><ul><li>x</ul><div><p>d</div><h2>same</h2></body>"))
