@@ -57,7 +57,10 @@ def idle_time(spans: DataFrame, start: str = "start", end: str = "end", buckets:
 
 
 def latency_stats(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Count, least, most, mean and nearest-rank percentiles. The mean is rounded down, as whole ticks are."""
+    """Count, least, most, mean and nearest-rank percentiles. The mean is rounded down, as whole ticks are.
+
+    The percentiles are exact: a group's state is its distinct values with their counts, so give values in ticks.
+    """
     v = F.col(value)
     names = {p: "p" + f"{p * 100:g}".replace(".", "_") for p in PERCENTILES}
     ranks = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(n) for p, n in names.items()]

@@ -75,14 +75,17 @@ def seek(log: DataFrame, lower, n: int, snapshot: int | None = None) -> DataFram
     return live(log, snapshot, lower).select("key", "value").orderBy("key").limit(n)
 
 
-def get_many(log: DataFrame, probes: DataFrame, key: str = "key", snapshot: int | None = None) -> DataFrame:
+def get_many(log: DataFrame, probes: DataFrame, key: str = "key", snapshot: int | None = None, few: int = 100_000) -> DataFrame:
     """For each row of probes its value and status: OK, DELETED or KEY_NOT_FOUND.
 
-    The log is cut to probed keys before its newest versions are found.
+    Up to ``few`` probes are broadcast to cut the log before its newest versions are found. With more, the newest
+    versions come first, one row a key and task, so that a key with many versions doesn't crowd one task of a join.
     """
     log = visible(log, snapshot)
     wanted = probes.select(F.col(key).alias("key")).distinct()
-    found = newest(log.join(wanted, "key", "left_semi")).select(F.col("key").alias("_key"), "value_type", "value")
+    if wanted.limit(few + 1).count() <= few:
+        log = log.join(F.broadcast(wanted), "key", "left_semi")
+    found = newest(log).select(F.col("key").alias("_key"), "value_type", "value")
     status = F.when(F.col("_key").isNull(), "KEY_NOT_FOUND").when(F.col("value_type") == TOMBSTONE, "DELETED").otherwise("OK")
     out = probes.join(found, probes[key] == found["_key"], "left")
     return out.select(*[probes[c] for c in probes.columns], status.alias("status"), F.when(status == "OK", F.col("value")).alias("value"))

@@ -37,6 +37,8 @@ def test_put_get_delete(spark, table):
     assert status == "OK" and bytes(value) == b""
     probes = spark.createDataFrame([(bytearray(k),) for k in (b"a", b"b", b"x", b"b")], "key binary")
     assert sorted((bytes(r["key"]), r["status"]) for r in table.get_many(probes).collect()) == [(b"a", "DELETED"), (b"b", "OK"), (b"b", "OK"), (b"x", "KEY_NOT_FOUND")]
+    few = versions.get_many(table.log(), probes, few=0)
+    assert sorted((bytes(r["key"]), r["status"]) for r in few.collect()) == [(b"a", "DELETED"), (b"b", "OK"), (b"b", "OK"), (b"x", "KEY_NOT_FOUND")]
     assert content(table.scan(snapshot=4)) == {b"a": b"1", b"b": b"3", b"c": b""}
 
 
