@@ -78,7 +78,8 @@ def untag_value(stored: Column | str) -> Column:
 
 def pack_offset(offset: Column | str, deleted: Column | str) -> Column:
     """A pointer's offset with the deleted flag in its highest bit."""
-    return F.when(_col(deleted), _col(offset).bitwiseOR(F.lit(-(1 << 63)))).otherwise(_col(offset))
+    offset = _col(offset).cast("long")
+    return F.when(_col(deleted), offset.bitwiseOR(F.lit(-(1 << 63)))).otherwise(offset)
 
 
 def is_deleted_pointer(packed: Column | str) -> Column:
@@ -112,7 +113,7 @@ def shared_prefix_length(a: Column | str, b: Column | str) -> Column:
 
 
 def xorshift64(x: Column | str) -> Column:
-    x = _col(x)
+    x = _col(x).cast("long")
     x = x.bitwiseXOR(F.shiftleft(x, 13))
     x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
     return x.bitwiseXOR(F.shiftleft(x, 17))
