@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runledger.functions import keys as K
 from runledger.operators import versions
 from runledger.operators.merge import merge_counts, merge_runs
-from runledger.plans import workloads
+from runledger.plans import cli, workloads
 from runledger.plans.compaction import compact, pick_buckets
 from runledger.schema import LOG, Config
 from runledger.sources.table import VersionedTable
@@ -184,3 +184,21 @@ def test_pruning_reaches_the_scan(spark, table):
     table.append(entries(spark, [(bytes([i, 1]), i, b"v") for i in range(200)]))
     plan = table.log(b"\x20", b"\x21").where(F.col("key") >= F.lit(bytearray(b"\x20")))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(partition_id" in plan and "GreaterThanOrEqual(key" in plan
+
+
+@pytest.mark.parametrize("mode", cli.MODES)
+def test_workload_modes(spark, tmp_path, mode):
+    got = cli.run(spark, mode, f"file://{tmp_path}/w", records=400, devices=10, batches=2, starts=2)
+    assert got["ops_per_s"] > 0
+    table = VersionedTable.open(spark, f"file://{tmp_path}/w")
+    left = {"load": 400, "read": 400, "range": 400, "timeseries": 400, "range_timeseries": 400, "compaction": 400, "delete": 0}
+    if mode == "rw":
+        assert got["errors"] == 0 and table.scan().count() == 800 - got["reads"]
+    else:
+        assert table.scan().count() == left[mode]
+    if mode == "range_timeseries":
+        assert (got["scans"], got["points"]) == (10, 400)
+    if mode == "compaction":
+        assert got["merges"] == 1 and len(table.runs) == 1
+    if mode == "range":
+        assert got["tier_0"] == 200 and got["tier_1"] == got["tier_2"] > 400
