@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a task whose codes are remembered at once.
-CACHE_WORDS = 400_000
-FITS_PAIRS = 1_000_000
+CACHE_WORDS = 200_000
+FITS_PAIRS = 300_000
 #: The Unicode property White_Space, as a character class's content.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 

@@ -93,8 +93,8 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", rows_per_file: int = 1_000_000) -> None:
     """Write the documents in one exchange as folders shard=0.., each file sorted by slot.
 
-    A shard is dealt to as many tasks as it has runs of rows_per_file slots.
+    A shard is dealt to as many tasks as it has runs of rows_per_file slots. Columns of docs named shard or slot are replaced.
     """
-    at = placed.select(F.col("doc_id").alias(id_col), "shard", "slot", F.floor(F.col("slot") / rows_per_file).alias("run"))
-    whole = docs.join(at, id_col).repartition("shard", "run").sortWithinPartitions("shard", "slot")
-    whole.drop("run").write.partitionBy("shard").parquet(path)
+    at = placed.select(F.col("doc_id").alias(id_col), "shard", "slot", F.floor(F.col("slot") / rows_per_file).alias("_run"))
+    whole = docs.drop("shard", "slot", "_run").join(at, id_col).repartition("shard", "_run").sortWithinPartitions("shard", "slot")
+    whole.drop("_run").write.partitionBy("shard").parquet(path)
