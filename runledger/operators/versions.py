@@ -6,7 +6,7 @@ range and snapshot filters, then the newest version of each key, then tombstones
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -130,6 +130,6 @@ def dense_numbers(df: DataFrame, start: int, name: str = "seq") -> DataFrame:
     for part, n in sorted(map(tuple, rows.groupBy("_part").count().collect())):
         offsets[part] = at
         at += n
-    table = F.lit(None).cast("map<int,bigint>") if not offsets else F.create_map(*[F.lit(x) for kv in offsets.items() for x in (kv[0], kv[1])])
-    number: Column = table[F.col("_part")] + F.col("_row")
-    return rows.withColumn(name, number.cast("long")).drop("_part", "_row")
+    firsts = df.sparkSession.createDataFrame(list(offsets.items()), "_part int, _first long")
+    # Twelve bytes for each partition: small however many rows there are.
+    return rows.join(F.broadcast(firsts), "_part").withColumn(name, F.col("_first") + F.col("_row")).drop("_part", "_row", "_first")
