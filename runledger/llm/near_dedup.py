@@ -7,9 +7,10 @@ and count as linked if the word edit distance is at most (1 - SIMILARITY) of the
 bit-parallel alignment in a widening band decides.
 
 Equal texts fold into one first. A bucket of m texts is compared as a star, each text with the bucket's first:
-m - 1 pairs. Where that leaves several components in a bucket, one text of each is compared with the others in full if they are
-few; if they are many, the bucket is parted by a second agreeing sketch; none is dropped or cut. Classes
-are the components of the links.
+m - 1 pairs. Where that leaves several components in a bucket, all its pairs of texts in different components are
+candidates: alikeness is not transitive, so no text stands for others. In large buckets counts of words, compared
+block by block, first rule out pairs that can't be alike. No pair that shares a sketch is left out. Classes are the
+components of the links.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .tokens import Words, mix64, pieces, window_hashes, windows_inside
 
 K, SKETCHES, SIMILARITY = 5, 24, 0.8
 SMALL = 16
+#: Texts of a large bucket that are compared with as many others at once, and counters of a text's words.
+BLOCK, BINS = 512, 256
 LAST = (1 << 63) - 1
 _ODD = [int(x) | 1 for x in mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
 
@@ -179,17 +182,12 @@ def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (b, j, node, label) of buckets that hold texts of different labels, with the bucket's size m and first node x."""
+    """Rows (b, node, label) of buckets that hold texts of different labels, with the bucket's size m and first node x."""
     buckets = rows.groupBy("b").agg(F.count("*").alias("m"), F.min("node").alias("x"), F.min("label").alias("_l"), F.max("label").alias("_h"))
     buckets = materialize(buckets.where("_l <> _h").select("b", "m", "x"), "near-centres")
     return materialize(rows.join(buckets, "b"), "near-buckets")
 
 
-def _one_of_each(rows: DataFrame) -> DataFrame:
-    """Of a bucket's texts in one component only the first goes on."""
-    return rows.groupBy("b", "j", "label").agg(F.min("node").alias("node"))
-
-
 def _close_sizes(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose lengths don't rule them out already."""
     x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "xy")
@@ -197,35 +195,77 @@ def _close_sizes(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     return both.where(F.least("nx", "ny") >= F.greatest("nx", "ny") * F.lit(similarity) - 1e-9).select("x", "y")
 
 
+def word_counts(words: DataFrame) -> DataFrame:
+    """(node, n, counts) of words (node, words): a byte for each of BINS classes of words, which stops at 255."""
+    def run(batches):
+        for b in batches:
+            w = [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column(1)]
+            counts = [np.minimum(np.bincount(x % BINS, minlength=BINS), 255).astype(np.uint8).tobytes() for x in w]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in w], pa.int64()), pa.array(counts, pa.binary())], ["node", "n", "counts"])
+
+    return words.select("node", "words").mapInArrow(run, "node long, n long, counts binary")
+
+
+def possible_pairs(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (x, y) of texts of different labels in a bucket of rows (b, node, label, m) that their words don't rule out.
+
+    An edit takes at most one word from either text, so neither has more words over the other's than edits are
+    allowed. Every block of a bucket meets every other in a group of its own, so a large bucket is spread over tasks.
+    """
+    def run(t: pa.Table) -> pa.Table:
+        node, label, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
+        counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        block = t.column("block").to_numpy()
+        first = np.flatnonzero(block == t.column("p")[0].as_py())
+        second = np.flatnonzero(block == t.column("q")[0].as_py())
+        same = t.column("p")[0] == t.column("q")[0]
+        xs, ys = [], []
+        for a in range(0, len(first), 32):
+            i = first[a : a + 32]
+            longer = np.maximum(n[i][:, None], n[second])
+            ok = (label[i][:, None] != label[second]) & (np.minimum(n[i][:, None], n[second]) >= longer * similarity - 1e-9)
+            if same:
+                ok &= node[i][:, None] < node[second]
+            u, v = np.nonzero(ok)
+            x, y, most = i[u], second[v], ((1 - similarity) * longer[u, v] + 1e-9).astype(np.int64)
+            more = counts[x] - counts[y]
+            over = np.maximum(more, 0).sum(1)
+            fit = np.maximum(over, over - more.sum(1)) <= most
+            xs.append(node[x[fit]])
+            ys.append(node[y[fit]])
+        x, y = np.concatenate([*xs, np.zeros(0, np.int64)]), np.concatenate([*ys, np.zeros(0, np.int64)])
+        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+
+    blocks = F.ceil(F.col("m") / BLOCK)
+    own = rows.select("b", "node", "label", blocks.alias("of"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
+    counts = word_counts(words.join(own.select("node").distinct(), "node", "left_semi"))
+    own = own.join(materialize(counts, "near-counts"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    met = own.select("b", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "label", "n", "counts")
+    return met.groupBy("b", "p", "q").applyInArrow(run, "x long, y long")
+
+
 def linked_classes(nodes: DataFrame, words_of, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label) for the nodes (node, n, sketch) that are linked to others: components of the links.
 
     words_of gives (node, words) for a table (node).
 
     1. Every bucket as a star around its first text.
-    2. Buckets that still hold several components, a text for each: small ones (SMALL components, so a
-       few pairs a text) are compared in full; larger ones are parted by a second sketch that must
-       agree, and what is large then is a star again. Links found here join components of the first step.
+    2. Buckets that still hold several components: all pairs of texts in different ones. Small buckets (SMALL texts,
+       so a few pairs a text) by a join, larger ones block by block. Links found here join components of the first step.
     """
-    rows = nodes.select("node", F.col("node").alias("label"), F.posexplode("sketch").alias("j", "b"))
+    rows = nodes.select("node", F.col("node").alias("label"), F.explode("sketch").alias("b"))
     rows = _shared(rows)
     words = materialize(words_of(rows.select("node").distinct()), "near-words")
     stars = rows.where("node <> x").select("x", F.col("node").alias("y")).distinct()
     tested = materialize(verify(_close_sizes(stars, nodes, similarity), words, similarity), "near-judged")
     joined = materialize(components(tested.where("linked").select("x", "y"), "near-stars"), "near-labels")
-    rows = rows.select("b", "j", "node").join(joined, "node", "left")
-    mixed = _shared(_one_of_each(rows.select("b", "j", "node", F.coalesce("label", "node").alias("label"))))
-
-    def in_full(rows: DataFrame) -> DataFrame:
-        one, two = (rows.where(F.col("m") <= SMALL).select("b", F.col("node").alias(c)) for c in "xy")
-        return one.join(two, "b").where("x < y").select("x", "y")
-
-    large = mixed.where(F.col("m") > SMALL).select("b", "j", "node")
-    other = mixed.select(F.col("b").alias("c"), F.col("j").alias("k"), "node", "label")
-    both = _shared(_one_of_each(large.join(other, "node").where("k > j").select(F.xxhash64("b", "c").alias("b"), F.col("k").alias("j"), "node", "label")))
-    late_stars = both.where((F.col("m") > SMALL) & (F.col("node") != F.col("x"))).select("x", F.col("node").alias("y"))
-    more = in_full(mixed).unionByName(in_full(both)).unionByName(late_stars)
-    fresh = _close_sizes(more.distinct(), nodes, similarity).join(tested.select("x", "y"), ["x", "y"], "left_anti")
+    rows = rows.select("b", "node").join(joined, "node", "left")
+    mixed = _shared(rows.select("b", "node", F.coalesce("label", "node").alias("label")))
+
+    one, two = (mixed.where(F.col("m") <= SMALL).select("b", F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
+    few = one.join(two, "b").where("x < y AND lx <> ly").select("x", "y").distinct()
+    more = _close_sizes(few, nodes, similarity).unionByName(possible_pairs(mixed.where(F.col("m") > SMALL), words, similarity))
+    fresh = materialize(more.distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti"), "near-pairs")
     late = materialize(verify(fresh, words, similarity).where("linked").select("x", "y"), "near-late")
     if late.isEmpty():
         return joined

@@ -478,6 +478,24 @@ def test_large_buckets_are_parted_not_dropped(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in got} == {i: i // 2 * 2 for i in range(80)}
 
 
+def test_near_copies_that_share_only_a_hot_passage(spark, monkeypatch):
+    """Every second word outside the passage is changed: all common shingles lie in what strangers share too."""
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage, rows = [word() for _ in range(200)], []
+    for i in range(40):
+        own = [word() for _ in range(100)]
+        rows.append((2 * i, " ".join(own[:50] + passage + own[50:])))
+        own = [word() if k % 2 else w for k, w in enumerate(own)]
+        rows.append((2 * i + 1, " ".join(own[:50] + passage + own[50:])))
+    rng.shuffle(rows)
+    for block in (512, 8):
+        monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+        got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: r["class_id"] for r in got} == {i: i // 2 * 2 for i in range(80)}
+
+
 # 10 ------------------------------------------------------------------------------------------------------------
 
 def test_bpe_like_the_library(spark, docs, none):
