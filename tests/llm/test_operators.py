@@ -496,6 +496,21 @@ def test_near_copies_that_share_only_a_hot_passage(spark, monkeypatch):
         assert {r["doc_id"]: r["class_id"] for r in got} == {i: i // 2 * 2 for i in range(80)}
 
 
+def test_drifting_versions(spark):
+    """Each version is alike the ones beside it only; whichever stands first in a bucket, the chain is one class."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    ids, rows = list(range(160)), []
+    rng.shuffle(ids)
+    for c in range(20):
+        text = [word() for _ in range(100)]
+        for v in range(8):
+            rows.append((ids[c * 8 + v], " ".join(text)))
+            text[v * 12 : v * 12 + 12] = [word() for _ in range(12)]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in got} == {i: (min(ids[c * 8 : c * 8 + 8]), 8) for c in range(20) for i in ids[c * 8 : c * 8 + 8]}
+
+
 # 10 ------------------------------------------------------------------------------------------------------------
 
 def test_bpe_like_the_library(spark, docs, none):
