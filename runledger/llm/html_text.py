@@ -12,6 +12,7 @@ merge as a few wrappers, not as its pages.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -25,10 +26,10 @@ from .common import materialize
 
 #: Wrappers a task keeps before it passes them on, and parts that a host's wrappers merge in first.
 HOSTS_IN_TASK, PARTS = 2000, 64
-#: Pages of a host from which a text that all share counts as template.
+#: Pages of different contents that a host must have before a text that all its pages share counts as template.
 TEMPLATE_PAGES = 5
-#: Elements that a wrapper keeps under one parent; pages with others fall back on their own mark-up.
-MOST_KIDS = 256
+#: Forms that a wrapper keeps under one parent; OTHER holds the pages and the weight of all others.
+MOST_KIDS, OTHER = 256, "*"
 DEPTH = 40
 #: Bytes of hosts' rules that are broadcast at most; beyond, pages and rules meet in a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -162,7 +163,18 @@ def _chain(node: Node):
         node = node.up
 
 
-# --- wrappers: [sig, pages, repeated, optional, text, chars, kids]; text is a literal, or None for a slot -------
+# --- wrappers: [sig, pages, repeated, optional, text, chars, kids]; text is a literal (a long one's hash), or None for a slot ---
+
+def _form(text: str) -> str:
+    return text if len(text) <= 200 else "\0" + hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+
+
+def contents(root: Node) -> str:
+    """A hash of the page's texts."""
+    texts: list[str] = []
+    _collect(root, "", set(), texts)
+    return hashlib.sha256("\n".join(texts).encode("utf-8", "replace")).hexdigest()[:20]
+
 
 def fold(node: Node, depth: int = 0) -> list:
     """A page's tree as a wrapper of one page: neighbours of the same form become one repeated group."""
@@ -174,7 +186,11 @@ def fold(node: Node, depth: int = 0) -> list:
             if t:
                 texts.append(t)
                 chars += len(t)
-        elif not p.drop and depth < DEPTH:
+        elif not p.drop and depth == DEPTH:  # only its weight counts
+            deep: list[str] = []
+            _collect(p, "", set(), deep)
+            chars += sum(map(len, deep))
+        elif not p.drop:
             k = fold(p, depth + 1)
             if kids and kids[-1][0] == k[0]:
                 kids[-1] = merge(kids[-1], k)
@@ -182,7 +198,7 @@ def fold(node: Node, depth: int = 0) -> list:
             else:
                 kids.append(k)
     text = " ".join(texts)
-    return [node.sig, 1, False, False, text if len(text) <= 200 else None, chars, kids]
+    return [node.sig, 1, False, False, _form(text), chars, kids]
 
 
 def merge(a: list, b: list) -> list:
@@ -190,7 +206,27 @@ def merge(a: list, b: list) -> list:
     return [a[0], a[1] + b[1], a[2] or b[2], a[3] or b[3], a[4] if a[4] == b[4] else None, a[5] + b[5], _align(a[6], b[6])]
 
 
+def weight(wrapper: list) -> int:
+    """Characters in the element and below it."""
+    total, todo = 0, [wrapper]
+    while todo:
+        k = todo.pop()
+        total += k[5]
+        todo += k[6]
+    return total
+
+
 def _align(a: list[list], b: list[list]) -> list[list]:
+    """_common, of which MOST_KIDS forms stay; the lightest go into OTHER, so the parent's weight stays what it was."""
+    rest = [k for k in (*a[-1:], *b[-1:]) if k[0] == OTHER]
+    out = _common(*([k for k in x if k[0] != OTHER] for x in (a, b)))
+    while len(out) > MOST_KIDS:
+        i = min(range(len(out)), key=lambda i: (not out[i][3], weight(out[i]), out[i][0]))
+        rest.append(out.pop(i))
+    return [*out, [OTHER, sum(k[1] for k in rest), True, True, None, sum(map(weight, rest)), []]] if rest else out
+
+
+def _common(a: list[list], b: list[list]) -> list[list]:
     """Longest common subsequence of forms; what only one side has becomes optional."""
     if [k[0] for k in a] == [k[0] for k in b]:
         return [merge(x, y) for x, y in zip(a, b, strict=True)]
@@ -210,46 +246,43 @@ def _align(a: list[list], b: list[list]) -> list[list]:
         else:
             out.append([*b[j][:3], True, *b[j][4:]])
             j += 1
-    while len(out) > MOST_KIDS:  # forms met least go: their pages are read by their own mark-up
-        out.remove(min((k for k in out if k[3]), key=lambda k: k[1], default=out[-1]))
     return out
 
 
 def container(wrapper: list) -> list[str]:
     """Path of the element that holds most of the running text: down while one child has most of what is there."""
-    def weight(k: list) -> int:
-        return k[5] + sum(weight(x) for x in k[6])
-
     path, at = [], wrapper
     while at[6]:
         child = max(at[6], key=weight)
         tag = child[0].split(".")[0]
-        if weight(child) < 0.6 * weight(at) or child[2] or tag in ("p", "ul", "ol", "table", "blockquote", "pre") or tag[0] == "h" and tag[1:].isdigit():
+        if weight(child) < 0.6 * weight(at) or child[0] == OTHER or child[2] or tag in ("p", "ul", "ol", "table", "blockquote", "pre") or tag[0] == "h" and tag[1:].isdigit():
             break
         path.append(child[0])
         at = child
     return path
 
 
-def template_texts(wrapper: list) -> list[list]:
-    """Paths with their text where all of enough pages share it while other texts of the host differ."""
+def template_texts(wrapper: list, pages: list[str]) -> list[list]:
+    """Paths with their text where all pages of the host share it though enough of them differ (pages: hashes of contents)."""
     found: list[list] = []
-    varied = False
-
-    def walk(k: list, path: list[str]) -> None:
-        nonlocal varied
-        varied = varied or k[4] is None and k[5] > 0
-        if k[4] and not k[2] and not k[6] and k[1] >= TEMPLATE_PAGES:
+    todo: list[tuple[list, list[str]]] = [(wrapper, [])] if len(pages) >= TEMPLATE_PAGES else []
+    while todo:
+        k, path = todo.pop()
+        if k[2] or k[3] or k[1] != wrapper[1]:  # not once on each page
+            continue
+        if k[4] and not k[6]:
             found.append([path, k[4]])
-        for x in k[6]:
-            walk(x, [*path, x[0]])
+        todo += [(x, [*path, x[0]]) for x in reversed(k[6])]
+    return found
 
-    walk(wrapper, [])
-    return found if varied else []
 
+def join_hosts(a: list, b: list) -> list:
+    """Merge what is known of a host from some pages and from others: the wrapper, and hashes of some different contents."""
+    return [merge(a[0], b[0]), sorted({*a[1], *b[1]})[:TEMPLATE_PAGES]]
 
-def rules(wrapper: list) -> str:
-    return json.dumps([container(wrapper), template_texts(wrapper)], ensure_ascii=False)
+
+def rules(known: list) -> str:
+    return json.dumps([container(known[0]), template_texts(*known)], ensure_ascii=False)
 
 
 def main_text(page: str, host_rules: str | None) -> str:
@@ -260,7 +293,9 @@ def main_text(page: str, host_rules: str | None) -> str:
     regions = _regions(root)
     if not regions and _open_frames(root):
         regions = _regions(root)
-    if not regions:
+    if regions:
+        fixed = set()  # what a page marks up as its main text stays whole
+    else:
         node: Node = root
         for sig in where:
             nxt = next((p for p in node.parts if isinstance(p, Node) and p.sig == sig and not p.drop), None)
@@ -276,11 +311,17 @@ def main_text(page: str, host_rules: str | None) -> str:
 
 def _open_frames(node: Node) -> bool:
     """Keep elements dropped for a frame's name that hold an article; true if there is one below."""
-    found = False
-    for p in node.parts:
-        if isinstance(p, Node) and (not p.drop or p.names and p.names <= LAYOUT):
-            if p.tag in MAIN_TAGS and not p.drop or _open_frames(p):
-                found, p.drop = True, False
+    found, todo = False, [node]
+    while todo:
+        for p in todo.pop().parts:
+            if isinstance(p, Node) and p.tag in MAIN_TAGS and not p.drop:
+                found = True
+                for x in _chain(p):
+                    if x is node:
+                        break
+                    x.drop = False
+            elif isinstance(p, Node) and (not p.drop or p.names and p.names <= LAYOUT):
+                todo.append(p)
     return found
 
 
@@ -288,14 +329,14 @@ def _regions(root: Node) -> list[Node]:
     """Elements marked up as main content: those in <main> if any, else articles; outermost ones."""
     found: dict[str, list[Node]] = {"main": [], "article": []}
 
-    def walk(node: Node, inside: set[str]) -> None:
-        for p in node.parts:
-            if isinstance(p, Node) and not p.drop:
-                if p.tag in found and p.tag not in inside:
-                    found[p.tag].append(p)
-                walk(p, inside | {p.tag})
-
-    walk(root, set())
+    todo: list[tuple[Node, frozenset]] = [(root, frozenset())]
+    while todo:
+        node, inside = todo.pop()
+        if node.tag in found:
+            if node.tag not in inside:
+                found[node.tag].append(node)
+            inside = inside | {node.tag}
+        todo += [(p, inside) for p in reversed(node.parts) if isinstance(p, Node) and not p.drop]
     if found["main"] and found["article"]:
         inside = [a for a in found["article"] if any(p in found["main"] for p in _chain(a))]
         return inside or found["main"]
@@ -303,13 +344,16 @@ def _regions(root: Node) -> list[Node]:
 
 
 def _collect(node: Node, path: str, fixed: set[tuple[str, str]], out: list[str]) -> None:
-    for p in node.parts:
+    todo = [(p, path) for p in reversed(node.parts)]
+    while todo:
+        p, path = todo.pop()
         if isinstance(p, str):
             t = " ".join(p.split())
-            if t and (path, t) not in fixed:
+            if t and not (fixed and (path, _form(t)) in fixed):
                 out.append(t)
         elif not p.drop:
-            _collect(p, f"{path}/{p.sig}" if path else p.sig, fixed, out)
+            below = (f"{path}/{p.sig}" if path else p.sig) if fixed else ""
+            todo += [(x, below) for x in reversed(p.parts)]
 
 
 def host(url: Column) -> Column:
@@ -330,8 +374,9 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             for a in range(0, b.num_rows, 64):
                 part = b.slice(a, 64)
                 for h, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    w = fold(parse(page or ""))
-                    known[h] = merge(known[h], w) if h in known else w
+                    root = parse(page or "")
+                    w = [fold(root), [contents(root)]]
+                    known[h] = join_hosts(known[h], w) if h in known else w
                 if len(known) > HOSTS_IN_TASK:
                     yield flush()
         if known:
@@ -341,7 +386,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         ws = [json.loads(w) for w in pdf["wrapper"].sort_values()]
         out = ws[0]
         for w in ws[1:]:
-            out = merge(out, w)
+            out = join_hosts(out, w)
         return out
 
     def by_part(pdf: pd.DataFrame) -> pd.DataFrame:

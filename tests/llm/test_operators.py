@@ -204,6 +204,23 @@ def test_names_of_frames_and_of_what_is_not_the_article():
     assert text("<article><p>&#x41;&#66;&hellip;&nbsp;&lt;p&gt; &copy</p><pre>a\n  b</pre></article>") == "AB… <p> © a b"
 
 
+def extracted(spark, pages):
+    rows = [(i, "http://one.example/", p) for i, p in enumerate(pages)]
+    return [r["text"] for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_only_what_all_differing_pages_share_is_template(spark):
+    notice = "please read on in our app " * 12
+    copies = ["<body><div><h2>Lone heading</h2><p>one<p>two</div></body>"] * 6
+    assert extracted(spark, copies) == ["Lone heading one two"] * 6
+    marked = [f"<body><article><h2>Summary</h2><p>text {i}</p></article></body>" for i in range(6)]
+    assert extracted(spark, marked) == [f"Summary text {i}" for i in range(6)]
+    some = [f"<body><div><p>text {i}</p>{'<blockquote>Same</blockquote>' if i < 5 else ''}</div></body>" for i in range(20)]
+    assert extracted(spark, some) == [f"text {i}" + " Same" * (i < 5) for i in range(20)]
+    long = [f"<body><div><p>text {i}</p><blockquote>{notice}</blockquote></div></body>" for i in range(6)]
+    assert extracted(spark, long) == [f"text {i}" for i in range(6)]
+
+
 def test_wrappers_fold_repeats_and_mark_optional_parts():
     one = html_text.fold(html_text.parse("<body><div><p>a<p>b<p>c</div><h2>same</h2></body>"))
     two = html_text.fold(html_text.parse("<body><ul><li>x</ul><div><p>d</div><h2>same</h2></body>"))
