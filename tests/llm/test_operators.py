@@ -221,6 +221,20 @@ def test_only_what_all_differing_pages_share_is_template(spark):
     assert extracted(spark, long) == [f"text {i}" for i in range(6)]
 
 
+def test_forms_beyond_the_limit_keep_their_weight():
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    pages = [f"<body><div class=wrap><div class=u{name(i)}><p>{'article ' * 12}</p></div><div class=teaser><p>{'sibling ' * 8}</p></div></div></body>" for i in range(1500)]
+    known = html_text.fold(html_text.parse(pages[0]))
+    for p in pages[1:]:
+        known = html_text.merge(known, html_text.fold(html_text.parse(p)))
+    assert html_text.container(known) == ["body", "div.wrap"]
+    assert html_text.weight(known) == 1500 * (12 * 8 - 1 + 8 * 8 - 1)
+
+
+def test_deep_pages():
+    assert html_text.main_text("<article>a" + "<div>" * 3000 + "deep", None) == "a deep"
+
+
 def test_wrappers_fold_repeats_and_mark_optional_parts():
     one = html_text.fold(html_text.parse("<body><div><p>a<p>b<p>c</div><h2>same</h2></body>"))
     two = html_text.fold(html_text.parse("<body><ul><li>x</ul><div><p>d</div><h2>same</h2></body>"))
