@@ -18,7 +18,7 @@ from .plans.compaction import compact
 from .schema import LOG, Config
 from .sources.scratch import scratch_dir
 from .sources.table import VersionedTable
-from .streaming.ingest import ingest, newest_stream
+from .streaming.ingest import ingest, read_newest, write_newest
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,10 +398,9 @@ def stream_ingest(spark, sf_dir):
 
 @_query(_with("SELECT key, seq, value_type FROM newest", True))
 def stream_newest(spark, sf_dir):
-    """The newest version of each key as a streaming aggregate, read when the stream has ended."""
-    base, name = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}", f"newest_{uuid.uuid4().hex}"
+    """The newest version of each key as a streaming aggregate, its changes written batch by batch."""
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     stored_log(spark, sf_dir).repartition(4).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
-    query = newest_stream(stream).writeStream.outputMode("complete").format("memory").queryName(name)
-    query.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.lower(F.hex("key")).alias("key"), "seq", F.col("value_type").cast("int").alias("value_type"))
+    write_newest(stream, f"{base}/newest", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return read_newest(spark, f"{base}/newest").select(F.lower(F.hex("key")).alias("key"), "seq", F.col("value_type").cast("int").alias("value_type"))

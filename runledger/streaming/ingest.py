@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..operators.versions import newest
 from ..plans.compaction import compact
+from ..schema import LOG
 from ..sources.table import VersionedTable
 
 
@@ -32,3 +34,21 @@ def newest_stream(stream: DataFrame) -> DataFrame:
     watermark applies. For large key spaces use ingest().
     """
     return stream.groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("value_type", "seq").alias("value_type"), F.max_by("value", "seq").alias("value"))
+
+
+def write_newest(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """A stream writer that puts the keys which a micro-batch changes into a folder of their own under path.
+
+    Executors write; nothing passes through the driver. A batch that is run again overwrites its folder.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    empty = stream.sparkSession.createDataFrame([], stream.schema)
+    newest_stream(empty).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    return newest_stream(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def read_newest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of each key that write_newest has written."""
+    return newest(spark.read.schema(LOG).parquet(path).drop("batch"))

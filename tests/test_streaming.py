@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from runledger.functions import keys as K
 from runledger.operators import versions
-from runledger.queries import log
+from runledger.queries import QUERIES, log
 from runledger.schema import LOG, Config
 from runledger.sources.table import VersionedTable
-from runledger.streaming.ingest import ingest, newest_stream
+from runledger.streaming.ingest import ingest, newest_stream, read_newest, write_newest
 
 
 def source(spark, sf_dir, path):
@@ -41,3 +41,14 @@ def test_newest_stream(spark, sf_dir, tmp_path):
     query = newest_stream(stream).writeStream.outputMode("complete").format("memory").queryName("newest").trigger(availableNow=True).start()
     query.awaitTermination()
     assert pairs(versions.not_deleted(spark.table("newest"))) == pairs(versions.live(rows).select("key", "value"))
+
+
+def test_newest_is_written_by_executors(spark, sf_dir, tmp_path):
+    path = f"file://{tmp_path}/in"
+    rows = source(spark, sf_dir, path)
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 2).parquet(path)
+    write_newest(stream, f"file://{tmp_path}/n", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert pairs(versions.not_deleted(read_newest(spark, f"file://{tmp_path}/n"))) == pairs(versions.live(rows).select("key", "value"))
+    before = {t.name for t in spark.catalog.listTables()}
+    assert QUERIES["stream_newest"](spark, sf_dir).count() == rows.select("key").distinct().count()
+    assert {t.name for t in spark.catalog.listTables()} == before  # no table in the driver's memory
