@@ -118,18 +118,20 @@ def superseded(log: DataFrame) -> DataFrame:
     return per_key.agg(F.sum("n").alias("versions"), F.count("*").alias("keys"), (F.sum("n") - F.count("*")).alias("superseded"))
 
 
+def numbered_parts(df: DataFrame) -> DataFrame:
+    """df with the task's number (_part) and each row's place in it (_row), to be written before dense_numbers()."""
+    return df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+
+
 def dense_numbers(df: DataFrame, start: int, name: str = "seq") -> DataFrame:
-    """Number the rows from start on without gaps, in the order of partitions and of rows in them.
+    """Number the rows of a table that numbered_parts() marked, from start on without gaps, in the order of tasks and of rows in them.
 
-    df must not change between two reads (a table, not a computation). Only the rows counted
-    in each partition, a number each, come to the driver.
+    Only the rows counted for each task, a number each, come to the driver.
     """
-    within = F.monotonically_increasing_id()
-    rows = df.withColumn("_part", F.spark_partition_id()).withColumn("_row", within.bitwiseAND(F.lit((1 << 33) - 1)))
     offsets, at = {}, start
-    for part, n in sorted(map(tuple, rows.groupBy("_part").count().collect())):
+    for part, n in sorted(map(tuple, df.groupBy("_part").count().collect())):
         offsets[part] = at
         at += n
     firsts = df.sparkSession.createDataFrame(list(offsets.items()), "_part int, _first long")
-    # Twelve bytes for each partition: small however many rows there are.
-    return rows.join(F.broadcast(firsts), "_part").withColumn(name, F.col("_first") + F.col("_row")).drop("_part", "_row", "_first")
+    # Twelve bytes for each task: small however many rows there are.
+    return df.join(F.broadcast(firsts), "_part").withColumn(name, F.col("_first") + F.col("_row")).drop("_part", "_row", "_first")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .functions import keys as K
 from .operators import merge, stats, versions
-from .plans.compaction import compact
+from .plans import workloads
+from .plans.compaction import compact, pick_buckets
 from .schema import LOG, Config
 from .sources.scratch import scratch_dir
 from .sources.table import VersionedTable
@@ -83,9 +84,17 @@ def live_latest_maxby(spark, sf_dir):
     return versions.not_deleted(versions.newest_narrow(log(spark, sf_dir), ["value_type", "value"])).select("key", "seq", "value")
 
 
-@_query(f"WITH log AS (SELECT * FROM ({LOG_SQL}) WHERE seq < 5000), newest AS ({NEWEST_SQL}) SELECT key, seq, value FROM newest WHERE value_type <> 2")
+HALF_SQL = "(SELECT (max(event_id) + 1) // 2 FROM events)"
+
+
+def half(spark: SparkSession, sf_dir: str) -> int:
+    """A snapshot that sees the older half of the log."""
+    return ((events(spark, sf_dir).agg(F.max("event_id")).first()[0] or 0) + 1) // 2
+
+
+@_query(f"WITH log AS (SELECT * FROM ({LOG_SQL}) WHERE seq < {HALF_SQL}), newest AS ({NEWEST_SQL}) SELECT key, seq, value FROM newest WHERE value_type <> 2")
 def snapshot_as_of(spark, sf_dir):
-    return versions.live(log(spark, sf_dir), snapshot=5000).select("key", "seq", "value")
+    return versions.live(log(spark, sf_dir), snapshot=half(spark, sf_dir)).select("key", "seq", "value")
 
 
 @_query(_with("SELECT key, value FROM newest WHERE value_type <> 2 AND key >= '4000000000000000' AND key <= 'bfffffffffffffff'", True))
@@ -109,12 +118,12 @@ def seek_limit(spark, sf_dir):
     return versions.seek(log(spark, sf_dir), "8", 10)
 
 
-PROBES_SQL = "SELECT event_id AS probe, substr(md5(CAST(event_id AS VARCHAR)), 1, 16) AS key FROM events WHERE event_id < 300"
+PROBES_SQL = "SELECT event_id AS probe, substr(md5(CAST(event_id AS VARCHAR)), 1, 16) AS key FROM events"
 
 
 @_query(_with(f", p AS ({PROBES_SQL}) SELECT p.probe, p.key, CASE WHEN n.key IS NULL THEN 'KEY_NOT_FOUND' WHEN n.value_type = 2 THEN 'DELETED' ELSE 'OK' END AS status, CASE WHEN n.value_type <> 2 THEN n.value END AS value FROM p LEFT JOIN newest n USING (key)", True))
 def multi_get_status(spark, sf_dir):
-    probes = events(spark, sf_dir).where("event_id < 300").select(F.col("event_id").alias("probe"), F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 16).alias("key"))
+    probes = events(spark, sf_dir).select(F.col("event_id").alias("probe"), F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 16).alias("key"))
     return versions.get_many(log(spark, sf_dir), probes)
 
 
@@ -133,14 +142,15 @@ def dup_counter(spark, sf_dir):
     return versions.superseded(log(spark, sf_dir))
 
 
-@_query(_with("SELECT key, seq, value_type FROM log WHERE seq > 7499"))
+@_query(_with(f"SELECT key, seq, value_type FROM log WHERE seq > {HALF_SQL}"))
 def wal_replay_above_highwater(spark, sf_dir):
-    return versions.replayable(log(spark, sf_dir), 7499).select("key", "seq", "value_type")
+    return versions.replayable(log(spark, sf_dir), half(spark, sf_dir)).select("key", "seq", "value_type")
 
 
-@_query(_with("SELECT key, seq FROM log WHERE seq < 3"))
+@_query(_with("SELECT key, seq FROM log"))
 def wal_replay_first_write(spark, sf_dir):
-    return versions.replayable(log(spark, sf_dir).where("seq < 3"), None).select("key", "seq")
+    """Nothing is held yet, so all is replayed, seq 0 too."""
+    return versions.replayable(log(spark, sf_dir), None).select("key", "seq")
 
 
 @_query(_with(f"SELECT seq, key, {PID_SQL} AS partition_id FROM log"))
@@ -172,8 +182,11 @@ def gc_merge(spark, sf_dir):
 @_query(f"WITH log AS (SELECT * FROM ({LOG_SQL}) WHERE epoch >= 2), newest AS ({NEWEST_SQL}) SELECT key, seq, value_type FROM newest")
 def non_gc_merge(spark, sf_dir):
     """Runs 2 and up merged while older ones stay outside: tombstones are kept."""
-    newer = log(spark, sf_dir).where("epoch >= 2")
-    return merge.merge_runs(newer, merge.can_discard([0, 2500], 9999)).select("key", "seq", "value_type")
+    every = log(spark, sf_dir)
+    newer, older = every.where("epoch >= 2"), every.where("epoch < 2")
+    first = [r[0] for r in older.groupBy("epoch").agg(F.min("seq")).select("min(seq)").collect()]  # a number for each run outside
+    last = newer.agg(F.max("seq")).first()[0] or 0
+    return merge.merge_runs(newer, bool(first) and merge.can_discard(first, last)).select("key", "seq", "value_type")
 
 
 @_query(_with("SELECT min(epoch) AS epoch, max(seq) AS max_seq FROM log"))
@@ -194,22 +207,19 @@ def run_and_live_overlap(spark, sf_dir):
     return merge.merge_runs(both, discard_deleted=True).select("key", "seq", "value")
 
 
-FILES_SQL = f"SELECT {PID_SQL} AS partition_id, epoch % 3 AS level, count(*) * 124 AS size, epoch FROM log GROUP BY ALL"
+#: Rows of each run and range of the key space in loaded_table(): one a key in each quarter of the log.
+RUNS_SQL = f"SELECT {PID_SQL} AS partition_id, 0 AS level, seq * 4 // (SELECT max(event_id) + 1 FROM events) AS epoch, count(DISTINCT key) AS rows FROM log GROUP BY ALL"
 
 
-def _files(spark, sf_dir):
-    b = binary_log(spark, sf_dir).select(K.partition_id("key").cast("long").alias("partition_id"), F.pmod("epoch", F.lit(3)).alias("level"), "epoch")
-    return b.groupBy("partition_id", "level", "epoch").agg((F.count("*") * 124).alias("size"))
-
-
-@_query(_with(f", files AS ({FILES_SQL}) SELECT partition_id, level, count(*) AS n_files, avg(size) AS avg_size, stddev_pop(size) AS stddev_size, CAST(sum(size) AS BIGINT) AS total_size FROM files GROUP BY partition_id, level", True))
+@_query(_with(f", files AS ({RUNS_SQL}) SELECT partition_id, level, count(*) AS n_files, avg(rows) AS avg_size, stddev_pop(rows) AS stddev_size, CAST(sum(rows) AS BIGINT) AS total_size FROM files GROUP BY partition_id, level"))
 def tree_stats(spark, sf_dir):
-    return stats.tree_stats(_files(spark, sf_dir))
+    """Layout of a table with four runs, in rows."""
+    return stats.tree_stats(loaded_table(spark, sf_dir).run_table(), "rows")
 
 
-@_query(_with(f", files AS ({FILES_SQL}) SELECT avg(n) AS read_amplification FROM (SELECT count(*) AS n FROM files GROUP BY partition_id)", True))
+@_query(_with(f", files AS ({RUNS_SQL}) SELECT avg(n) AS read_amplification FROM (SELECT count(*) AS n FROM files GROUP BY partition_id)"))
 def read_amplification(spark, sf_dir):
-    return stats.read_amplification(_files(spark, sf_dir))
+    return stats.read_amplification(loaded_table(spark, sf_dir).run_table())
 
 
 @_query(f"""WITH j AS ({JOBS_SQL}), r AS (SELECT *, stop - start AS took, CASE WHEN stop > start THEN bytes / (stop - start) END AS rate FROM j)
@@ -273,30 +283,31 @@ def mixed_rw_split(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.when(K.is_read_op("event_id"), "read").otherwise("write").alias("op"))
 
 
-@_query("SELECT r.k AS run, r.k % 3 = 0 AS listed FROM (SELECT DISTINCT event_id // 2500 AS k FROM events) r WHERE r.k % 3 <> 0")
+@_query("SELECT CAST(i AS BIGINT) AS epoch FROM range(4) t(i)")
 def orphan_files(spark, sf_dir):
-    """Runs found on disk that the list of runs lacks."""
-    disk = log(spark, sf_dir).select(F.col("epoch").alias("run")).distinct()
-    listed = disk.where("run % 3 = 0").withColumn("listed", F.lit(True))
-    return disk.join(listed, "run", "left_anti").withColumn("listed", F.lit(False))
+    """The epochs of the runs that a merge of all four runs leaves on disk, in no manifest's list."""
+    table = loaded_table(spark, sf_dir)
+    compact(table, compact_all=True)
+    return spark.createDataFrame([(int(i.split("-")[0]),) for i in table.orphans()], "epoch long")
 
 
 @_query("SELECT level, bucket, count(*) AS width, min(epoch) AS first_epoch, max(epoch) AS last_epoch FROM (SELECT level, epoch, (row_number() OVER (PARTITION BY level ORDER BY epoch) - 1) // 4 AS bucket FROM (SELECT DISTINCT event_id // 100 AS epoch, (event_id // 100) % 3 AS level FROM events)) GROUP BY level, bucket HAVING count(*) >= 2")
 def bucket_pick(spark, sf_dir):
-    """Neighbouring runs of a level in buckets of up to four, at least two."""
-    from pyspark.sql import Window as W
-
+    """Neighbouring runs of a level in buckets of up to four, at least two. Picking works on a manifest's list of runs."""
     runs = events(spark, sf_dir).select(F.floor(F.col("event_id") / 100).alias("epoch")).distinct().withColumn("level", F.col("epoch") % 3)
-    numbered = runs.withColumn("bucket", F.floor((F.row_number().over(W.partitionBy("level").orderBy("epoch")) - 1) / 4))
-    return numbered.groupBy("level", "bucket").agg(F.count("*").alias("width"), F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch")).where("width >= 2")
+    buckets = pick_buckets([r.asDict() for r in runs.collect()], 2, 4)
+    count, rows = {}, []
+    for b in buckets:
+        level = b[0]["level"]
+        rows.append((level, count.get(level, 0), len(b), b[0]["epoch"], b[-1]["epoch"]))
+        count[level] = count.get(level, 0) + 1
+    return spark.createDataFrame(rows, "level long, bucket long, width long, first_epoch long, last_epoch long")
 
 
 @_query("SELECT o_orderkey, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 16) || repeat('0', 32) AS key, CAST(o_totalprice AS VARCHAR) IS NOT NULL AS has_value FROM orders")
 def unique_key_load(spark, sf_dir):
-    from .plans.workloads import numbered_key
-
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    rows = o.select("o_orderkey", numbered_key(F.col("o_orderkey")).alias("key"), F.lit(1).alias("value_type"), F.lit(0).alias("seq"), F.col("o_totalprice").isNotNull().alias("has_value"))
+    rows = o.select("o_orderkey", workloads.numbered_key(F.col("o_orderkey")).alias("key"), F.lit(1).alias("value_type"), F.lit(0).alias("seq"), F.col("o_totalprice").isNotNull().alias("has_value"))
     return versions.live(rows).select("o_orderkey", F.lower(F.hex("key")).alias("key"), "has_value")
 
 
@@ -334,7 +345,7 @@ def loaded_table(spark: SparkSession, sf_dir: str, runs: int = 4, **config) -> V
     """A scratch table with the change log in some runs, oldest first."""
     rows = stored_log(spark, sf_dir)
     n = (rows.agg(F.max("seq")).first()[0] or 0) + 1
-    table = VersionedTable.create(spark, f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}", Config(min_merge_width=2, **config))
+    table = empty_table(spark, **config)
     for i in range(runs):
         table.append(rows.where(F.col("seq").between(n * i // runs, n * (i + 1) // runs - 1)))
     return table
@@ -368,23 +379,110 @@ def table_range_scan(spark, sf_dir):
     return _shown(loaded_table(spark, sf_dir).scan(bytes.fromhex("2000000000000000"), bytes.fromhex("9fffffffffffffff")))
 
 
-@_query(f"WITH log AS (SELECT * FROM ({LOG_SQL}) WHERE seq < 4000), newest AS ({NEWEST_SQL}) SELECT key, CAST(seq AS VARCHAR) AS value FROM newest WHERE value_type <> 2")
+@_query(f"WITH log AS (SELECT * FROM ({LOG_SQL}) WHERE seq < {HALF_SQL}), newest AS ({NEWEST_SQL}) SELECT key, CAST(seq AS VARCHAR) AS value FROM newest WHERE value_type <> 2")
 def table_snapshot(spark, sf_dir):
     """A snapshot read of runs that hold one version a key, each run ending at the snapshot or before."""
-    table = loaded_table(spark, sf_dir, 1)
-    table.commit(runs=[])
-    rows = stored_log(spark, sf_dir)
-    table.append(rows.where("seq < 4000"), epoch=100)
-    table.append(rows.where("seq >= 4000"), epoch=101)
-    return _shown(table.scan(snapshot=4000))
+    at = half(spark, sf_dir)
+    rows, table = stored_log(spark, sf_dir), empty_table(spark)
+    table.append(rows.where(F.col("seq") < at))
+    table.append(rows.where(F.col("seq") >= at))
+    return _shown(table.scan(snapshot=at))
 
 
 @_query(_with(f", p AS ({PROBES_SQL}) SELECT p.probe, CASE WHEN n.key IS NULL THEN 'KEY_NOT_FOUND' WHEN n.value_type = 2 THEN 'DELETED' ELSE 'OK' END AS status, CASE WHEN n.value_type <> 2 THEN CAST(n.seq AS VARCHAR) END AS value FROM p LEFT JOIN newest n USING (key)", True))
 def table_get_many(spark, sf_dir):
-    probes = events(spark, sf_dir).where("event_id < 300").select(F.col("event_id").alias("probe"), K.hash8("event_id").alias("key"))
+    probes = events(spark, sf_dir).select(F.col("event_id").alias("probe"), K.hash8("event_id").alias("key"))
     return loaded_table(spark, sf_dir).get_many(probes).select("probe", "status", F.decode("value", "UTF-8").alias("value"))
 
 
+@_query(_with("SELECT key, CASE WHEN value_type = 2 THEN 'DELETED' ELSE 'OK' END AS status, CASE WHEN value_type <> 2 THEN CAST(seq AS VARCHAR) END AS value FROM newest WHERE key = (SELECT min(key) FROM log)", True))
+def table_point_get(spark, sf_dir):
+    """One key's status and value; the least key of the log."""
+    key = stored_log(spark, sf_dir).agg(F.min("key")).first()[0]
+    status, value = loaded_table(spark, sf_dir).get(bytes(key))
+    return spark.createDataFrame([(bytes(key).hex(), status, value and bytes(value).decode())], "key string, status string, value string")
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'new' END AS value FROM orders WHERE o_orderstatus <> 'O'")
+def table_put_remove(spark, sf_dir):
+    """Orders put without numbers, finished ones put again, open ones removed; the writes' order decides."""
+    o, table = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", K.big_endian("o_orderkey").alias("key")), empty_table(spark)
+    table.put(o.withColumn("value", K.text_key(F.lit("new"))))
+    table.put(o.where("o_orderstatus = 'F'").withColumn("value", K.text_key(F.lit("done"))))
+    table.remove(o.where("o_orderstatus = 'O'").select("key"))
+    return table.scan().select(K.from_big_endian("key").alias("o_orderkey"), F.decode("value", "UTF-8").alias("value"))
+
+
+@_query(LIVE_SQL)
+def table_replay(spark, sf_dir):
+    """The older half is in a run; replaying the whole log adds the rest, once."""
+    rows, table = stored_log(spark, sf_dir), empty_table(spark)
+    table.append(rows.where(F.col("seq") < half(spark, sf_dir)))
+    table.replay(rows)
+    table.replay(rows)
+    return _shown(table.scan())
+
+
+def empty_table(spark: SparkSession, **config) -> VersionedTable:
+    return VersionedTable.create(spark, f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}", Config(min_merge_width=2, **config))
+
+
+def _n_orders(spark: SparkSession, sf_dir: str) -> int:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+def filled_table(spark: SparkSession, sf_dir: str) -> tuple[VersionedTable, int]:
+    """The workloads' table with as many numbered records as there are orders, loaded in four batches."""
+    table, n = empty_table(spark), _n_orders(spark, sf_dir)
+    workloads.load(table, n, batches=4)
+    return table, n
+
+
+@_query("SELECT substr(md5(CAST(i AS VARCHAR)), 1, 16) || repeat('0', 32) AS key, 100 AS value_bytes FROM range((SELECT count(*) FROM orders)) t(i)")
+def workload_load(spark, sf_dir):
+    return filled_table(spark, sf_dir)[0].scan().select(F.lower(F.hex("key")).alias("key"), F.length("value").alias("value_bytes"))
+
+
+@_query("SELECT count(*) AS probes, 0 AS errors FROM orders")
+def workload_read(spark, sf_dir):
+    return workloads.read_all(*filled_table(spark, sf_dir))
+
+
+@_query("SELECT count(*) AS reads, 0 AS errors FROM range((SELECT count(*) FROM orders)) t(i) WHERE CAST('0x' || substr(md5(CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % 2 = 1")
+def workload_mixed(spark, sf_dir):
+    table, n = filled_table(spark, sf_dir)
+    return workloads.mixed(table, n, n)
+
+
+@_query("SELECT * FROM (SELECT substr(md5(CAST(i AS VARCHAR)), 1, 16) || repeat('0', 32) AS key FROM range((SELECT count(*) FROM orders)) t(i)) WHERE key >= '80' ORDER BY key LIMIT 1024")
+def workload_range(spark, sf_dir):
+    """The middle tier of range scans from the middle of the key space."""
+    return workloads.range_scan(filled_table(spark, sf_dir)[0], b"\x80", 1).select(F.lower(F.hex("key")).alias("key"))
+
+
+@_query("SELECT CAST(i AS BIGINT) AS device, (SELECT count(*) FROM orders) // 100 AS points FROM range(100) t(i)")
+def workload_series(spark, sf_dir):
+    """A hundred devices' series loaded, then scanned device by device."""
+    table = empty_table(spark)
+    workloads.load_series(table, 100, _n_orders(spark, sf_dir) // 100)
+    return workloads.scan_series(table, spark.range(100).select(F.col("id").alias("device")))
+
+
+@_query("SELECT 1 AS runs, count(*) AS rows, 1 AS merges FROM orders")
+def workload_compaction(spark, sf_dir):
+    table, n = empty_table(spark), _n_orders(spark, sf_dir)
+    merges = workloads.compaction(table, n, 4)
+    return table.run_table().agg(F.countDistinct("run_id").alias("runs"), F.sum("rows").alias("rows")).withColumn("merges", F.lit(len(merges)))
+
+
+@_query("SELECT count(*) AS probes, count(*) AS deleted FROM orders")
+def workload_delete(spark, sf_dir):
+    table, n = filled_table(spark, sf_dir)
+    workloads.delete_all(table, n)
+    found = table.get_many(workloads.records(spark, 0, n).select("key"))
+    return found.agg(F.count("*").alias("probes"), F.count_if(F.col("status") == "DELETED").alias("deleted"))
+
+
 @_query(LIVE_SQL)
 def stream_ingest(spark, sf_dir):
     """The log as a stream of four files, ingested batch by batch with compactions on the way."""

@@ -21,6 +21,7 @@ LOG = T.StructType([
 
 #: A log as it lies in runs, and with what a run's place adds.
 RUN = T.StructType([*LOG.fields, T.StructField("partition_id", T.IntegerType(), True)])
+STORED = T.StructType([*RUN.fields, T.StructField("run", T.StringType(), True)])
 PLACED = T.StructType([*RUN.fields, T.StructField("epoch", T.LongType(), True), T.StructField("level", T.IntegerType(), True)])
 
 #: A pointer to a value kept elsewhere, for key-value separation.

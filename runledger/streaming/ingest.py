@@ -15,12 +15,14 @@ from ..sources.table import VersionedTable
 def ingest(table: VersionedTable, stream: DataFrame, checkpoint: str, compact_every: int = 0) -> DataStreamWriter:
     """A stream writer that appends each micro-batch (key, seq, value_type, value) as a run.
 
-    The batch's id is the run's epoch, and an epoch is written once, so a batch that is run again after a
-    failure changes nothing. compact_every: merge runs after that many batches, which bounds
-    the number of runs a reader meets; tombstones are kept, since entries may arrive after newer ones.
+    The table remembers the last batch of each stream by the id that Spark keeps in the stream's checkpoint, so a batch that is
+    run again after a failure changes nothing, while other writers, other streams and a new checkpoint are never taken for
+    it. compact_every: merge runs after that many batches, which bounds the number of runs
+    a reader meets; tombstones are kept, since entries may arrive after newer ones.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.refresh().append(batch, epoch=batch_id)
+        source = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        table.refresh().append(batch, source, batch_id)
         if compact_every and (batch_id + 1) % compact_every == 0:
             compact(table, keep_tombstones=True)
 

@@ -31,7 +31,35 @@ def test_ingest(spark, sf_dir, tmp_path):
     table.refresh()
     assert pairs(table.scan()) == pairs(versions.live(rows).select("key", "value"))
     before = table.manifest
-    assert table.append(rows, epoch=1) is None and table.manifest == before
+    (stream_id,) = before["sources"]
+    assert table.append(rows, stream_id, 1) is None and table.manifest == before
+
+
+def run_stream(spark, table, path, checkpoint):
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(path)
+    ingest(table, stream, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return table.refresh()
+
+
+def test_no_batch_is_taken_for_another_writers_commit(spark, sf_dir, tmp_path):
+    """Writes before and between, a second stream, a new checkpoint: every batch arrives."""
+    one, two = f"file://{tmp_path}/one", f"file://{tmp_path}/two"
+    part = lambda k, s: spark.createDataFrame([(bytearray(k), s, 1, bytearray(k))], LOG).coalesce(1)
+    table = VersionedTable.create(spark, f"file://{tmp_path}/t", Config(min_merge_width=2))
+    table.append(part(b"before", 0))
+    for i, k in enumerate((b"a", b"b")):
+        part(k, 1 + i).write.mode("append").parquet(one)
+    run_stream(spark, table, one, f"file://{tmp_path}/c1")
+    table.put(spark.createDataFrame([(bytearray(b"between"), bytearray(b"between"))], "key binary, value binary"))
+    part(b"c", 10).write.parquet(two)
+    run_stream(spark, table, two, f"file://{tmp_path}/c2")
+    assert pairs(table.scan()) == [(k, k) for k in (b"a", b"b", b"before", b"between", b"c")]
+    part(b"d", 11).write.mode("append").parquet(one)
+    run_stream(spark, table, one, f"file://{tmp_path}/c1")
+    runs = len(run_stream(spark, table, one, f"file://{tmp_path}/c3").runs)
+    assert runs == 2 + 1 + 1 + 1 + 1 + 3 and len(table.manifest["sources"]) == 3
+    assert run_stream(spark, table, one, f"file://{tmp_path}/c3").runs == table.runs and len(table.runs) == runs
+    assert pairs(table.scan()) == [(k, k) for k in (b"a", b"b", b"before", b"between", b"c", b"d")]
 
 
 def test_newest_stream(spark, sf_dir, tmp_path):

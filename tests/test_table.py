@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runledger.functions import keys as K
-from runledger.operators import versions
+from runledger.operators import stats, versions
 from runledger.operators.merge import merge_counts, merge_runs
 from runledger.plans import cli, workloads
 from runledger.plans.compaction import compact, pick_buckets
@@ -100,6 +100,64 @@ def test_tombstone_stays_while_an_older_run_is_outside(spark, table):
     assert report["discarded_tombstones"] and content(table.scan()) == {b"x": b"y"} and table.get(b"k")[0] == "KEY_NOT_FOUND"
 
 
+def test_old_manifests_stay_readable_while_they_are_kept(spark, table):
+    table.append(entries(spark, [(b"a", 0, b"1"), (b"b", 1, b"2")]))
+    table.append(entries(spark, [(b"a", 2, b"3"), (b"b", 3, None)]))
+    before = table.manifest["version"]
+    compact(table, compact_all=True)
+    assert table.vacuum(keep=2) == [] and content(VersionedTable.open(spark, table.path, before).scan(snapshot=2)) == {b"a": b"1", b"b": b"2"}
+    assert len(table.vacuum()) == 2 and content(table.scan()) == {b"a": b"3"}
+    with pytest.raises(FileNotFoundError):
+        VersionedTable.open(spark, table.path, before)
+
+
+def test_a_run_between_cuts_a_bucket(spark, table):
+    for i in range(5):
+        table.append(entries(spark, [(b"k%d" % i, i, b"v")]))
+    table.commit(runs=[{**r, "level": int(i == 2)} for i, r in enumerate(table.runs)])
+    reports = compact(table)
+    assert [len(r["inputs"]) for r in reports] == [2, 2] and len(table.runs) == 3 and table.scan().count() == 5
+    table.commit(runs=[{**r, "level": i % 2} for i, r in enumerate(table.runs)])
+    assert all("skipped" in r for r in compact(table)) and table.scan().count() == 5
+
+
+def test_merges_are_recorded(spark, table):
+    for i in range(3):
+        table.append(entries(spark, [(b"k", 2 * i, b"v"), (b"x%d" % i, 2 * i + 1, b"w")]))
+    compact(table)
+    (job,) = table.jobs().collect()
+    assert (job["level"], job["items"]) == (1, 6) and job["bytes"] > 0 and job["end"] > job["start"]
+    (row,) = stats.level_stats(table.jobs()).collect()
+    assert row["items"] == 6 and row["compactions"] == 1 and row["mean_rate"] > 0
+    assert stats.idle_time(table.jobs()).first()["idle"] == 0
+    assert stats.tree_stats(table.run_table()).first()["total_size"] > 0
+
+
+@pytest.mark.parametrize(("exponent", "share"), [(0, 0.5), (1, 0.01), (4, 1.0), (10, 0.5)])
+def test_partition_exponents_and_delete_shares(spark, tmp_path, exponent, share):
+    rng = random.Random(exponent)
+    table = VersionedTable.create(spark, f"file://{tmp_path}/{exponent}-{share}", Config(partition_exponent=exponent, min_merge_width=2))
+    keys = sorted(rng.randbytes(16) for _ in range(100))
+    table.append(entries(spark, [(k, i, k) for i, k in enumerate(keys)]))
+    gone = set(keys[: int(100 * share)])
+    table.append(entries(spark, [(k, 100 + i, None) for i, k in enumerate(sorted(gone))]))
+    want = {k: k for k in keys if k not in gone}
+    assert content(table.scan()) == want
+    low, high = keys[20], keys[80]
+    assert content(table.scan(low, high)) == {k: k for k in want if low <= k <= high}
+    assert content(table.scan(low, scope="partition")) == {k: k for k in want if k >= low and K.partition_of(k, exponent) == K.partition_of(low, exponent)}
+    compact(table, compact_all=True)
+    assert content(table.scan()) == want and (table.runs == []) == (share == 1.0)
+
+
+def test_few_probes_read_few_ranges(spark, table):
+    table.append(entries(spark, [(bytes([i, 1]), i, b"v") for i in range(200)]))
+    found = table.get_many(spark.createDataFrame([(bytearray(b"\x21\x01"),), (bytearray(b"\x25"),), (None,)], "key binary"))
+    assert sorted((r["key"] and bytes(r["key"]), r["status"]) for r in found.collect() if r["key"]) == [(b"\x21\x01", "OK"), (b"\x25", "KEY_NOT_FOUND")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "partition_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_run_order_where_runs_number_their_own_entries(spark):
     rows = [(b"k", 7, 10, b"old"), (b"k", 7, 20, b"new"), (b"m", 9, 10, b"old"), (b"m", 1, 20, b"new")]
     runs = spark.createDataFrame([(bytearray(k), s, e, 1, bytearray(v)) for k, s, e, v in rows], "key binary, seq long, epoch long, value_type int, value binary")
