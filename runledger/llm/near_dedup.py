@@ -131,13 +131,13 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     return banded_distance(a, b, most) is not None if most else len(a) == len(b) and bool((a == b).all())
 
 
-def text_keys(w: Words, h: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit hashes of each text's sequence of words."""
-    pos = (np.arange(len(h)) - w.first[w.text_of_word()]).astype(np.uint64)
+def text_keys(w: Words) -> list[np.ndarray]:
+    """Two independent 64-bit hashes of each text's sequence of words."""
+    pos = (np.arange(len(w.start)) - w.first[w.text_of_word()]).astype(np.uint64)
     keys = []
-    for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
-        sums = np.zeros(len(h) + 1, dtype=np.uint64)
-        np.cumsum(mix64(h ^ mix64(pos + np.uint64(salt))), out=sums[1:])
+    for lane, salt in enumerate((0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)):
+        sums = np.zeros(len(pos) + 1, dtype=np.uint64)
+        np.cumsum(mix64(w.hashes(lane) ^ mix64(pos + np.uint64(salt))), out=sums[1:])
         keys.append(mix64(sums[w.first[1:]] - sums[w.first[:-1]] + w.counts.astype(np.uint64)).view(np.int64))
     return keys
 
@@ -147,7 +147,7 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for b, w in pieces(batches, 1):
             h = w.hashes()
-            keys = text_keys(w, h)
+            keys = text_keys(w)
             s = order_sketches(w, h)
             size = np.where(w.counts >= K, SKETCHES, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(s[size > 0].reshape(-1).view(np.int64)))

@@ -9,6 +9,8 @@ segment: of segments with equal words only those of the first document stay open
 anchor stands in different surroundings, the open segments are compared window by window, each key's
 first document against the others. So a passage in thousands of documents costs each of them a few rows, never pairs.
 
+Words are compared by two independent 64-bit hashes of each, so runs of words by 128 bits.
+
 Repeats that touch or overlap join into maximal ones when their words are removed. A window that repeats one of
 its own document is found in the document itself.
 """
@@ -32,10 +34,10 @@ LAST = (1 << 63) - 1
 BROADCAST_BYTES = 32 << 20
 
 
-def anchors(h: np.ndarray, first: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all segments: anchor hash, hash of the words covered, first window, number of windows (flat)."""
+def anchors(h: np.ndarray, h2: np.ndarray, first: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
+    """Of all segments: anchor hash, two hashes of the words covered (from the words' two), first window, number of windows (flat)."""
     if len(h) < length:
-        return (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        return (*[np.empty(0, np.uint64)] * 3, *[np.empty(0, np.int64)] * 2)
     span = length - k + 1
     g = window_hashes(h, k)
     n = len(h) - length + 1
@@ -55,12 +57,14 @@ def anchors(h: np.ndarray, first: np.ndarray, length: int = LENGTH, k: int = K)
     start = np.flatnonzero(new)
     stop = np.flatnonzero(ok & np.r_[(place[1:] != place[:-1]) | ~ok[1:], True]) + 1
     up, down = _power_tables(len(h) + 1)
-    sums = np.empty(len(h) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(mix64(h) * up[: len(h)], out=sums[1:])
-    covered = (sums[stop + length - 1] - sums[start]) * down[start]
-    shape = ((stop - start) * 64 + place[start] - start).astype(np.uint64)
-    return low[start], mix64(covered + mix64(shape)), start, stop - start
+    shape = mix64(((stop - start) * 64 + place[start] - start).astype(np.uint64))
+    covered = []
+    for words in (h, h2):
+        sums = np.empty(len(h) + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum(mix64(words) * up[: len(h)], out=sums[1:])
+        covered.append(mix64((sums[stop + length - 1] - sums[start]) * down[start] + shape))
+    return low[start], *covered, start, stop - start
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,16 +77,17 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def segments(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for b, w in pieces(batches, 2):
-            a, u, start, n = anchors(w.hashes(), w.first, length)
+            a, u, v, start, n = anchors(w.hashes(), w.hashes(1), w.first, length)
             text = np.searchsorted(w.first, start, "right") - 1
             # What comes again in its own text is found there later.
-            _, earlier = repeats(mix64(a ^ mix64(u)), text)
-            a, u, start, n, text = (x[~earlier] for x in (a, u, start, n, text))
+            _, earlier = repeats(u, text, v)
+            a, u, v, start, n, text = (x[~earlier] for x in (a, u, v, start, n, text))
             did, th = (b.column(i).to_numpy()[text] for i in (0, 1))
             s = (start - w.first[text]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(u.view(np.int64)), pa.array(did), pa.array(th), pa.array(s), pa.array(n.astype(np.int32))], ["a", "u", "did", "th", "s", "n"])
+            hashes = [pa.array(x.view(np.int64)) for x in (a, u, v)]
+            yield pa.RecordBatch.from_arrays([*hashes, pa.array(did), pa.array(th), pa.array(s), pa.array(n.astype(np.int32))], ["a", "u", "v", "did", "th", "s", "n"])
 
-    return rows.select("did", "th", "text").mapInArrow(run, "a long, u long, did long, th long, s int, n int")
+    return rows.select("did", "th", "text").mapInArrow(run, "a long, u long, v long, did long, th long, s int, n int")
 
 
 def _with_lists(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -108,8 +113,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     every = materialize(segments(rows, length), "repeat-segments")
     again = materialize(every.groupBy("a").agg(F.count("*").alias("_n")).where("_n > 1").select("a"), "repeat-anchors")
     seg = materialize(every.join(again, "a"), "repeat-seeds")
-    contents = materialize(seg.groupBy("a", "u").agg(F.min("did").alias("first")), "repeat-contents")
-    known = seg.join(contents, ["a", "u"])
+    contents = materialize(seg.groupBy("a", "u", "v").agg(F.min("did").alias("first")), "repeat-contents")
+    known = seg.join(contents, ["a", "u", "v"])
     whole = known.where("did > first").select("did", "th", "s", (F.col("s") + F.col("n") - 1 + length).alias("e"))
     contested = materialize(contents.groupBy("a").agg(F.count("*").alias("_n")).where("_n > 1").select("a"), "repeat-contested")
     is_open = known.where("did = first").join(contested, "a", "left_semi")
@@ -117,19 +122,20 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def windows(batches):
         for b, w in pieces(batches, 2):
-            h = window_hashes(w.hashes(), length).view(np.int64)
-            cols: list[list[np.ndarray]] = [[], [], [], []]
+            h, h2 = (window_hashes(w.hashes(lane), length).view(np.int64) for lane in (0, 1))
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for i, spans in enumerate(b.column(3)):
                 s, n = (spans.values.field(x).to_numpy() for x in ("s", "n"))
                 at = np.repeat(s - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                for c, x in zip(cols, (h[w.first[i] + at], np.full(len(at), b.column(0)[i].as_py()), np.full(len(at), b.column(1)[i].as_py()), at.astype(np.int32)), strict=True):
+                flat = w.first[i] + at
+                for c, x in zip(cols, (h[flat], h2[flat], np.full(len(at), b.column(0)[i].as_py()), np.full(len(at), b.column(1)[i].as_py()), at.astype(np.int32)), strict=True):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["w", "did", "th", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["w", "w2", "did", "th", "s"])
 
     found = _with_lists(rows.select("did", "th", "text"), lists, "inner").select("did", "th", "text", "spans")
-    win = materialize(found.mapInArrow(windows, "w long, did long, th long, s int"), "repeat-windows")
-    first = win.groupBy("w").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("last > first").select("w", "first")
-    single = win.join(materialize(first, "repeat-firsts"), "w").where("did > first").select("did", "th", "s", (F.col("s") + length).alias("e"))
+    win = materialize(found.mapInArrow(windows, "w long, w2 long, did long, th long, s int"), "repeat-windows")
+    first = win.groupBy("w", "w2").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("last > first").select("w", "w2", "first")
+    single = win.join(materialize(first, "repeat-firsts"), ["w", "w2"]).where("did > first").select("did", "th", "s", (F.col("s") + length).alias("e"))
     return maximal(whole.unionByName(single))
 
 
@@ -155,9 +161,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         for b, w in pieces(batches, 1):
             depth = np.zeros(len(w.start) + 1, dtype=np.int64)
-            h = window_hashes(w.hashes(), length)
+            h, h2 = (window_hashes(w.hashes(lane), length) for lane in (0, 1))
             at = np.flatnonzero(windows_inside(w.first, length))
-            _, earlier = repeats(h[at], w.text_of_word()[at])
+            _, earlier = repeats(h[at], w.text_of_word()[at], h2[at])
             np.add.at(depth, at[earlier], 1)
             np.add.at(depth, at[earlier] + length, -1)
             for i, x in enumerate(b.column(2)):

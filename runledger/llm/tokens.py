@@ -6,6 +6,7 @@ only a text that is longer by itself makes a larger piece.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +15,11 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once, about.
 PIECE = 1 << 20
+LONG_WORD = 512
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+_LANES = np.array([0x8C2F9D71A4E35B06, 0x51D7348EC96A0BF2], dtype=np.uint64)
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: list[np.ndarray] = []
@@ -58,20 +62,29 @@ class Words:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        out = np.empty(len(self.start), dtype=np.uint64)
-        a = 0
-        while a < len(out):  # words within a piece of bytes, at least one
-            b = max(a + 1, int(np.searchsorted(self.end, self.start[a] + PIECE, "right")))
-            lo, hi = int(self.start[a]), int(self.end[b - 1])
-            up, down = _power_tables(hi - lo + 1)
-            sums = np.empty(hi - lo + 1, dtype=np.uint64)
-            sums[0] = 0
-            np.cumsum((self.data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=sums[1:])
-            s, e = self.start[a:b] - lo, self.end[a:b] - lo
-            out[a:b] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-            a = b
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; the two lanes are independent of each other.
+
+        Eight bytes at a time go through a mixing step that is no polynomial, so no pattern of letters makes words collide
+        but by the chance of random numbers. Words beyond LONG_WORD bytes are hashed by BLAKE2b.
+        """
+        key = _LANES[lane]
+        size = self.end - self.start
+        out = mix64(size.astype(np.uint64) + key)
+        longer = np.flatnonzero(size > LONG_WORD)
+        todo = np.flatnonzero(size <= LONG_WORD) if len(longer) else np.arange(len(size))
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eights = np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+        at, step = self.start, 0
+        while len(todo):
+            x = eights[at[todo] + 8 * step]
+            left = size[todo] - 8 * step
+            x &= _LOW_BYTES[np.minimum(left, 8)]
+            out[todo] = mix64(out[todo] ^ mix64(x + key))
+            todo, step = todo[left > 8], step + 1
+        for i in longer.tolist():
+            digest = hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=16).digest()
+            out[i] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
         return out
 
 
@@ -138,11 +151,13 @@ def windows_inside(first: np.ndarray, k: int) -> np.ndarray:
     return ok
 
 
-def repeats(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each item: does an equal one stand in its group, and does an equal one stand earlier there?"""
+def repeats(keys: np.ndarray, group: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each item: does an equal one stand in its group, and does an equal one stand earlier there? other: a second hash to be equal too."""
     order = np.argsort(mix64(keys ^ mix64(group.astype(np.uint64))), kind="stable")
     k, g = keys[order], group[order]
     same = (k[1:] == k[:-1]) & (g[1:] == g[:-1])
+    if other is not None:
+        same &= other[order][1:] == other[order][:-1]
     anywhere, earlier = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
     earlier[order[1:]] = same
     anywhere[order[1:]] = same

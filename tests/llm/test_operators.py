@@ -77,12 +77,32 @@ def test_word_splitting_and_hashes():
     assert len(set(seen.values())) == len(seen)
 
 
-def test_small_pieces_give_the_same_hashes(monkeypatch):
+def test_hashes_are_the_words_own():
     data = np.frombuffer(" ".join(words(" ".join(t or "" for _, t, _ in ROWS))).encode(), dtype=np.uint8)
     w = tokens.split_words(data, np.array([0, len(data)]))
-    whole = w.hashes()
-    monkeypatch.setattr(tokens, "PIECE", 50)
-    assert (w.hashes() == whole).all()
+    whole = [w.hashes(0), w.hashes(1)]
+    assert not (whole[0] == whole[1]).any()
+    for a in range(0, len(w.start), 50):  # a word's hash doesn't depend on what stands beside it
+        part = w.data[w.start[a] :]
+        one = tokens.split_words(part, np.array([0, len(part)]))
+        assert all((one.hashes(lane) == whole[lane][a:]).all() for lane in (0, 1))
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_patterned_words_do_not_collide():
+    """Words of two letters on which every polynomial modulo 2^64 collides."""
+    one = thue_morse(4096)
+    two = one.translate(str.maketrans("ab", "ba"))
+    for n in (1024, 2048, 4096):
+        for limit in (tokens.LONG_WORD, 1 << 20):
+            data = np.frombuffer(f"{one[:n]} {two[:n]}".encode(), dtype=np.uint8)
+            w = tokens.split_words(data, np.array([0, len(data)]))
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(tokens, "LONG_WORD", limit)
+                assert all(len(set(w.hashes(lane).tolist())) == 2 for lane in (0, 1))
 
 
 # 1 -------------------------------------------------------------------------------------------------------------
@@ -352,6 +372,16 @@ def test_substrings(spark, docs, none):
     assert [r["kept_sha256"] == empty for r in every if r["doc_id"] is None and r["n_words"] == len(words(ROWS[5][1]))] == [len(words(ROWS[5][1])) >= 20]
 
 
+def test_patterned_words_are_no_repeat(spark):
+    shared = " ".join(f"w{i}" for i in range(19))
+    one = thue_morse(2048)
+    rows = [(1, f"{shared} {one}"), (2, f"{shared} {one.translate(str.maketrans('ab', 'ba'))}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup.dedup_substrings(d).collect()} == {0}
+    alone = spark.createDataFrame([(i, t.split()[-1]) for i, t in rows], "doc_id long, text string")
+    assert {r["class_id"] for r in near_dedup.near_dedup(alone).collect()} == {1, 2}
+
+
 def test_substrings_with_lists_in_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", -1)
     once = {i: (i, t) for i, t, _ in ROWS if i is not None}
