@@ -60,23 +60,22 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Leading bits of the key by which running_sum() parts a group.
+SUM_BITS = 14
+
+
 def running_sum(df: DataFrame, group: list[str], key: str, order: list[str], value: Column, out: str, bits: int = 60) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the earlier rows of the group, by (key, order).
 
     key is a non-negative long of ``bits`` evenly spread bits. A window over the
     whole group would put a hot group into one task, so the sum is made in
-    three steps, over the leading 10 bits, the next 10, and the rest: each window
-    holds at most 1024 sums, or a 2^20th part of the group's rows.
+    two steps, over the leading 14 bits and over the rest: a window holds
+    16,384 sums, or a 16,384th part of the group's rows.
     """
-    top, mid = F.shiftright(key, bits - 10), F.shiftright(key, bits - 20)
-    rows = df.withColumn("_v", value).withColumn("_b", mid)
-    same = [F.col(c) for c in group]
-    by_mid = rows.groupBy(*same, "_b").agg(F.sum("_v").alias("_s"))
-    by_top = by_mid.groupBy(*same, F.shiftright("_b", 10).alias("_t")).agg(F.sum("_s").alias("_s"))
-    before = lambda w: F.coalesce(F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at_top = by_top.select(*same, "_t", before(W.partitionBy(*same).orderBy("_t")).alias("_o1"))
-    at_mid = by_mid.select(*same, "_b", F.shiftright("_b", 10).alias("_t"), before(W.partitionBy(*same, F.shiftright("_b", 10)).orderBy("_b")).alias("_o2"))
-    offsets = at_mid.join(at_top, [*group, "_t"]).select(*same, "_b", (F.col("_o1") + F.col("_o2")).alias("_o"))
-    inside = W.partitionBy(*same, "_b").orderBy(key, *order).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_i", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    return rows.join(offsets, [*group, "_b"]).withColumn(out, F.col("_o") + F.col("_i")).drop("_v", "_b", "_i", "_o")
+    rows = df.withColumn("_v", value).withColumn("_b", F.shiftright(key, max(0, bits - SUM_BITS)))
+    sums = rows.groupBy(*group, "_b").agg(F.sum("_v").alias("_s"))
+    before = F.sum("_s").over(W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sums.select(*group, "_b", F.coalesce(before, F.lit(0)).alias("_o"))
+    inside = F.sum("_v").over(W.partitionBy(*group, "_b").orderBy(key, *order).rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.join(offsets, [*group, "_b"]).withColumn(out, F.col("_o") + F.coalesce(inside, F.lit(0)))
+    return rows.drop("_v", "_b", "_o")

@@ -125,7 +125,7 @@ def brute_targets(sizes):
 
 
 def test_mix(docs, none):
-    got = mixing.mix(docs, block_words=100).collect()
+    got = mixing.mix(docs, block_words=20).collect()
     sizes = defaultdict(int)
     for _, t, s in ROWS:
         sizes[s] += len(words(t))
@@ -136,19 +136,44 @@ def test_mix(docs, none):
         source = None if r["skey"] == "~" else r["skey"][1:]
         taken[source] += r["taken"]
         assert 0 <= r["taken"] <= 3 * r["size"] and r["source_size"] == sizes[source] and abs(r["target"] - want[source]) < 1e-6
-    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(5), block_words=100).collect()), key=str)
+        assert (r["slot"] is None) == (r["taken"] == 0)
+    assert all(abs(taken[s] - want[s]) <= 3 * 20 for s in sizes)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(5), block_words=20).collect()), key=str)
     assert mixing.mix(none).collect() == []
     assert {r["taken"] for r in mixing.mix(docs.where("text IS NULL")).collect()} == {0}
 
 
-def test_schedule_spreads_sources(docs):
-    sizes = docs.sparkSession.createDataFrame([("=a", 10_000), ("=b", 10_000), ("=c", 10_000)], "skey string, source_size long")
-    plan = mixing.schedule(mixing.source_targets(sizes), 10).orderBy("slot").collect()
-    assert len({(r["skey"], r["block"]) for r in plan}) == len(plan)
-    for at in (100, 500, 2000):
+def test_the_points_make_the_mix(docs, monkeypatch):
+    by_phi = {(r["doc_id"], r["size"], r["slot"], r["taken"]) for r in mixing.mix(docs, block_words=20).collect()}
+    monkeypatch.setattr(mixing, "PHI", 0.25)
+    other = {(r["doc_id"], r["size"], r["slot"], r["taken"]) for r in mixing.mix(docs, block_words=20).collect()}
+    assert len(by_phi & other) < len(by_phi) / 2
+
+
+def test_schedule_spreads_sources(spark):
+    """Against plain Python: each slot's source by its point, blocks counted off."""
+    names = [f"={c}" for c in "abcdefgh"]
+    sizes = spark.createDataFrame([(s, 10_000 + 17 * i) for i, s in enumerate(names)], "skey string, source_size long")
+    targets = mixing.source_targets(sizes)
+    plan = mixing.schedule(targets, 10).orderBy("slot").collect()
+    edges = np.cumsum([int(r["target"]) for r in targets.orderBy("skey").collect()])
+    n, count = -(-int(edges[-1]) // 10), Counter()
+    for i in range(n):
+        s = names[int(np.searchsorted(edges, int((i + 1) * mixing.PHI % 1.0 * float(edges[-1])), "right"))]
+        assert (plan[i]["slot"], plan[i]["skey"], plan[i]["block"]) == (i, s, count[s])
+        count[s] += 1
+    assert len(plan) == n
+    for at in (100, 500, 2000, n):
         part = Counter(r["skey"] for r in plan[:at])
-        assert all(abs(part[s] - at * w / 6) <= 8 for s, w in (("=a", 1), ("=b", 2), ("=c", 3)))
+        assert all(abs(part[s] - at * w / 15) <= 4 for s, w in zip(names, (1, 2, 3, 1, 2, 3, 1, 2), strict=True))
+
+
+def test_many_sources_are_ranked_and_levelled_like_few(spark):
+    rng = random.Random(4)
+    sizes = {f"host{i}": rng.choice([0, 1, 5, 40, 3000]) for i in range(400)} | {None: 70}
+    rows = [("~" if s is None else f"={s}", n) for s, n in sizes.items()]
+    got = {r["skey"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "skey string, source_size long").repartition(5)).collect()}
+    assert all(abs(got["~" if s is None else f"={s}"] - w) < 1e-6 for s, w in brute_targets(sizes).items())
 
 
 # 2 -------------------------------------------------------------------------------------------------------------
