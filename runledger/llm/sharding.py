@@ -4,17 +4,19 @@ Rows have a 62-bit sort key: 31 bits of the text's hash, then 31 bits of the id'
 texts lie together and a hot group of copies can still be cut. Splitters are found by
 rounds: each round counts exact bytes in the 64 cells of every splitter's interval, in one
 pass over the slim (key, size) table, and narrows the interval to the cell that holds
-the wanted byte position, till a cell border is near enough. Then rows move once.
+the wanted byte position, till a cell border is near enough. Then rows move once: to (shard, run), a run being a
+stretch of the shard's id hashes, in which they are numbered.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hash60, materialize, running_sum
+from .common import hash60, materialize
 
 KEY_BITS = 62
 #: Bits of the key that the rounds resolve in turn; the first five end at the text's hash.
@@ -65,6 +67,43 @@ def find_splitters(rows: DataFrame, shards: int, tolerance: float) -> list[int]:
     return sorted(s.at for s in splitters)
 
 
+#: Bits of the id's hash that make a shard's runs: so many tasks can share a shard.
+RUN_BITS = 12
+
+
+def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with _size, _crc and _key."""
+    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    key = F.shiftleft(F.shiftright(hash60(F.md5(text)), 29), 31).bitwiseOR(F.shiftright(hash60(F.col(id_col)), 29))
+    return docs.select("*", (F.octet_length(text) + 8).cast("long").alias("_size"), F.crc32(text).alias("_crc"), key.alias("_key"))
+
+
+def place(key: Column, cuts: list[int]) -> Column:
+    """The key's shard: its place among the splitters, by halving."""
+    def half(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < F.lit(cuts[mid]), half(lo, mid)).otherwise(half(mid + 1, hi))
+
+    return half(0, len(cuts)).cast("int")
+
+
+def exchange(rows: DataFrame, keys: DataFrame, cuts: list[int], order: list[str]) -> DataFrame:
+    """rows (with _key) with shard and slot, in the one exchange of whole rows: by shard and run.
+
+    keys: the slim table (key) of the same rows, from which each run's first slot is counted. A slot follows the id's hash
+    in its shard; the key itself would lay a hot group's rows side by side.
+    """
+    run = lambda key: F.shiftright(key.bitwiseAND(F.lit((1 << 31) - 1)), 31 - RUN_BITS).cast("int")
+    sizes = keys.groupBy(place(F.col("key"), cuts).alias("shard"), run(F.col("key")).alias("_run")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("shard").orderBy("_run").rowsBetween(W.unboundedPreceding, -1))
+    firsts = sizes.select("shard", "_run", F.coalesce(before, F.lit(0)).alias("_first"))  # 4,096 rows a shard at most
+    dealt = rows.withColumn("shard", place(F.col("_key"), cuts)).withColumn("_run", run(F.col("_key"))).join(F.broadcast(firsts), ["shard", "_run"])
+    inside = W.partitionBy("shard", "_run").orderBy(F.col("_key").bitwiseAND(F.lit((1 << 31) - 1)), "_key", *order)
+    return dealt.withColumn("slot", F.col("_first") + F.row_number().over(inside) - 1).drop("_run", "_first")
+
+
 def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot, key.
 
@@ -73,28 +112,20 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     Repeated rows each get a slot; a null id is hashed as empty; an empty table gives an empty
     result; other columns are not read.
     """
-    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    key = F.shiftleft(F.shiftright(hash60(F.md5(text)), 29), 31).bitwiseOR(F.shiftright(hash60(F.col(id_col)), 29))
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key")), "shard-keys")
-    cuts = find_splitters(rows, shards, tolerance)
-    # Position of the key among the splitters, by halving.
-    def place(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("key") < F.lit(cuts[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
-
-    placed = rows.withColumn("shard", place(0, len(cuts)).cast("int"))
-    # Slots follow the id's hash, the key's low half: the key itself would lay a hot group's rows side by side.
-    placed = placed.withColumn("own", F.col("key").bitwiseAND(F.lit((1 << 31) - 1)))
-    return running_sum(placed, ["shard"], "own", ["key", "doc_id", "size"], F.lit(1).cast("long"), "slot", 31).drop("own")
+    rows = with_keys(docs.select(id_col, text_col), id_col, text_col).select(F.col(id_col).alias("doc_id"), "_size", "_crc", "_key")
+    rows = materialize(rows, "shard-keys")
+    keys = rows.select(F.col("_key").alias("key"), F.col("_size").alias("size"))
+    placed = exchange(rows, keys, find_splitters(keys, shards, tolerance), ["doc_id", "_size"])
+    return placed.select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "slot", F.col("_key").alias("key"))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", rows_per_file: int = 1_000_000) -> None:
-    """Write the documents in one exchange as folders shard=0.., each file sorted by slot.
+def write_shards(docs: DataFrame, shards: int, path: str, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001) -> None:
+    """Write the documents, all columns and rows as they are, as folders shard=0.., each file sorted by slot.
 
-    A shard is dealt to as many tasks as it has runs of rows_per_file slots. Columns of docs named shard or slot are replaced.
+    Null and repeated ids are rows like others. Columns of docs named shard, slot, _key, _size, _crc, _run or _first are replaced or dropped.
     """
-    at = placed.select(F.col("doc_id").alias(id_col), "shard", "slot", F.floor(F.col("slot") / rows_per_file).alias("_run"))
-    whole = docs.drop("shard", "slot", "_run").join(at, id_col).repartition("shard", "_run").sortWithinPartitions("shard", "slot")
-    whole.drop("_run").write.partitionBy("shard").parquet(path)
+    whole = docs.drop("shard", "slot", "_key", "_size", "_crc", "_run", "_first")
+    keys = with_keys(whole.select(id_col, text_col), id_col, text_col).select(F.col("_key").alias("key"), F.col("_size").alias("size"))
+    keys = materialize(keys, "shard-keys")
+    placed = exchange(with_keys(whole, id_col, text_col), keys, find_splitters(keys, shards, tolerance), ["_size"])
+    placed.drop("_key", "_size", "_crc").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -209,11 +209,30 @@ def _by(rows, column):
     return out
 
 
+def test_splitters_against_a_plain_search(spark):
+    """No key border may be nearer to the wanted bytes by more than the tolerance."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(1 << 62) if i % 3 else 7 << 58 | rng.randrange(1 << 31), rng.choice([8, 300, 5000])) for i in range(4000)]
+    cuts = sharding.find_splitters(spark.createDataFrame(rows, "key long, size long"), 9, 0.001)
+    keys, sizes = zip(*sorted(rows), strict=True)
+    upto = np.r_[0, np.cumsum(sizes)]
+    for i, cut in enumerate(cuts, 1):
+        want = upto[-1] * i / 9
+        best = min(abs(int(u) - want) for u in upto)
+        assert abs(int(upto[np.searchsorted(keys, cut)]) - want) <= best + 0.001 * upto[-1] / 9
+
+
 def test_written_shards(spark, docs, tmp_path):
-    d = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    sharding.write_shards(d, sharding.shard_by_bytes(d, 4), f"file://{tmp_path}/s", rows_per_file=20)
+    """Null and repeated ids and clashing columns: every row comes back once, where the query puts it."""
+    sharding.write_shards(docs, 4, f"file://{tmp_path}/s")
     back = spark.read.parquet(f"file://{tmp_path}/s")
-    assert back.count() == d.count() and back.select("shard").distinct().count() == 4
+    assert Counter(map(tuple, back.select("doc_id", "text", "source").collect())) == Counter(ROWS)
+    placed = sharding.shard_by_bytes(docs, 4)
+    at = lambda df, text_crc: Counter(map(tuple, df.select("doc_id", text_crc, "shard", "slot").collect()))
+    assert at(back.withColumn("c", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))), "c") == at(placed, "text_crc32")
+    ids = spark.createDataFrame([(None, "a"), (None, "a"), (1, "b"), (1, "b"), (2, "c")], "doc_id long, text string")
+    sharding.write_shards(ids, 2, f"file://{tmp_path}/t")
+    assert Counter(r[0] for r in spark.read.parquet(f"file://{tmp_path}/t").select("doc_id").collect()) == Counter({None: 2, 1: 2, 2: 1})
 
 
 # 3 -------------------------------------------------------------------------------------------------------------
@@ -316,13 +335,26 @@ def test_chains():
     record = lambda body: b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
     inner = record(b"inner")
     data = b"".join(record(b) for b in [b"a", inner, b"", inner * 2, b"z"])
-    starts, after = warc.candidates(data)
+    starts, after = warc.candidates(memoryview(data))
     on = warc.reachable(starts, after, len(data))
     assert len(starts) == 8 and on.sum() == 5
     with pytest.raises(ValueError):
-        starts, after = warc.candidates(data[:-3])
+        starts, after = warc.candidates(memoryview(data[:-3]))
         warc.reachable(starts, after, len(data) - 3)
-    assert warc.reachable(*warc.candidates(b""), 0).sum() == 0
+    assert warc.reachable(*warc.candidates(memoryview(b"")), 0).sum() == 0
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    """A few large pages among many empty ones, and pages that hold whole records."""
+    rng = random.Random(8)
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    rows = [(i, "u", f"{i} " + (str(rng.random()) * 15_000 if i % 40 == 0 else inner * 3 if i % 7 == 0 else "")) for i in range(1200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    warc.write_archives(pages, f"file://{tmp_path}/w", archive_bytes=1 << 20)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").rglob("part-*")]
+    assert len(sizes) > 6 and max(sizes) <= 1 << 20 and sum(sizes) > 8 << 20
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    assert got == {i: (len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h in rows}
 
 
 def test_empty_archive(spark):
