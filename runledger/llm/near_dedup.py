@@ -1,16 +1,20 @@
 """Near-duplicate classes by order MinHash and banded alignment.
 
 A text's words give its K-word shingles, each labelled with how often it occurred before in the text. For each
-of SKETCHES hash functions the two shingles with the smallest hashes, in text order, make a sketch; two texts
-agree in one about as often as edits leave both shingles and their order. Texts that share a sketch are candidates,
-and count as linked if the word edit distance is at most (1 - SIMILARITY) of the longer text, which a
-bit-parallel alignment in a widening band decides.
+of FUNCTIONS hash functions the TOP shingles with the smallest hashes are sampled, and every two of them, in text
+order, make a sketch; two texts agree in one about as often as edits leave both shingles and their order. Texts
+that share a sketch are candidates, and count as linked if the word edit distance is at most (1 - SIMILARITY)
+of the longer text, which a bit-parallel alignment in a widening band decides.
 
 Equal texts fold into one first. A bucket of m texts is compared as a star, each text with the bucket's first:
 m - 1 pairs. Where that leaves several components in a bucket, all its pairs of texts in different components are
-candidates: alikeness is not transitive, so no text stands for others. In large buckets counts of words, compared
-block by block, first rule out pairs that can't be alike. No pair that shares a sketch is left out. Classes are the
-components of the links.
+compared: alikeness is not transitive, so no text stands for others. In large buckets that is done block by block:
+counts of words rule pairs out first, likely pairs are aligned before others, and pairs that links found so
+far have joined need no alignment. No pair that shares a sketch is left out. Classes are the components of the links.
+
+How sure a link is found depends on the shingles in common. With a fifth of both texts' shingles in common (up to 20 random
+edits in 100 words, or 12 evenly spread) nine in ten pairs and more share a sketch; edits that leave hardly a five-word
+shingle whole are not looked for.
 """
 
 from __future__ import annotations
@@ -24,25 +28,28 @@ from .common import broadcast_if_small, materialize
 from .components import components
 from .tokens import Words, mix64, pieces, window_hashes, windows_inside
 
-K, SKETCHES, SIMILARITY = 5, 24, 0.8
-SMALL = 16
-#: Texts of a large bucket that are compared with as many others at once, and counters of a text's words.
-BLOCK, BINS = 512, 256
+K, SIMILARITY = 5, 0.8
+FUNCTIONS, TOP = 22, 3
+#: Texts of up to so many shingles have a sketch for each shingle besides, as they may share one only.
+FEW = 4
+#: Buckets of up to SMALL texts are compared by a join, larger ones in blocks of about BLOCK texts or BLOCK_WORDS words.
+SMALL, BLOCK, BLOCK_WORDS = 16, 2048, 2 << 20
+#: Counters of a text's words.
+BINS = 256
 LAST = (1 << 63) - 1
-_ODD = [int(x) | 1 for x in mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
+_ODD = [int(x) | 1 for x in mix64(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
 
 
-def order_sketches(w: Words, h: np.ndarray, sketches: int = SKETCHES, k: int = K) -> np.ndarray:
-    """Sketches of each text (texts x sketches); rows of texts with fewer than k words mean nothing."""
-    n = len(w.first) - 1
-    out = np.zeros((n, sketches), dtype=np.uint64)
+def order_sketches(w: Words, h: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of all texts, one after another, and their number for each text; texts with fewer than k words have none."""
     have = np.flatnonzero(w.counts >= k)
+    count = np.zeros(len(w.counts), dtype=np.int64)
     if not len(have):
-        return out
-    at = np.flatnonzero(windows_inside(w.first, k))
-    text = np.repeat(np.arange(len(have)), w.counts[have] - k + 1)
-    start = np.concatenate([[0], np.cumsum(w.counts[have] - k + 1)[:-1]])
-    g = window_hashes(h, k)[at]
+        return np.empty(0, np.uint64), count
+    shingles = w.counts[have] - k + 1
+    text = np.repeat(np.arange(len(have)), shingles)
+    start = np.concatenate([[0], np.cumsum(shingles)[:-1]])
+    g = window_hashes(h, k)[np.flatnonzero(windows_inside(w.first, k))]
     # how often the shingle occurred before in its text
     order = np.argsort(mix64(g ^ mix64(text.astype(np.uint64))), kind="stable")
     new = np.r_[True, (g[order][1:] != g[order][:-1]) | (text[order][1:] != text[order][:-1])]
@@ -50,21 +57,29 @@ def order_sketches(w: Words, h: np.ndarray, sketches: int = SKETCHES, k: int = K
     before = np.empty(len(g), dtype=np.uint64)
     before[order] = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
     x = mix64(g + before * np.uint64(0xA0761D6478BD642F))
-    one = w.counts[have] == k
-    for j, odd in enumerate(_ODD[:sketches]):
+    rows = [], []
+    for j, odd in enumerate(_ODD):
         y = x * np.uint64(odd)
         y ^= y >> np.uint64(29)
-        low = np.minimum.reduceat(y, start)
-        hit = np.flatnonzero(y == low[text])
-        first = hit[np.r_[True, text[hit][1:] != text[hit][:-1]]]
-        y[first] = np.uint64(LAST * 2 + 1)
-        low = np.minimum.reduceat(y, start)
-        hit = np.flatnonzero(y == low[text])
-        second = hit[np.r_[True, text[hit][1:] != text[hit][:-1]]]
-        second = np.where(one, first, second)
-        a, b = np.minimum(first, second), np.maximum(first, second)
-        out[have, j] = mix64(mix64(x[a]) * np.uint64(3) + x[b] + np.uint64(j))
-    return out
+        top = []
+        for i in range(TOP):
+            low = np.minimum.reduceat(y, start)
+            hit = np.flatnonzero(y == low[text])
+            top.append(hit[np.r_[True, text[hit][1:] != text[hit][:-1]]])
+            y[top[-1]] = np.uint64(LAST * 2 + 1)
+        for q in range(1, TOP):
+            for p in range(q):
+                enough = np.flatnonzero(shingles > q)
+                a, b = top[p][enough], top[q][enough]
+                rows[0].append(enough)
+                rows[1].append(mix64(mix64(x[np.minimum(a, b)]) * np.uint64(3) + x[np.maximum(a, b)] + np.uint64(j)))
+    few = np.flatnonzero(shingles[text] <= FEW)
+    rows[0].append(text[few])
+    rows[1].append(mix64(x[few]))
+    of, sketch = np.concatenate(rows[0]), np.concatenate(rows[1])
+    order = np.argsort(of, kind="stable")
+    count[have] = np.bincount(of, minlength=len(have))
+    return sketch[order], count
 
 
 def _shift(mask: int, by: int) -> int:
@@ -146,11 +161,9 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """did (null ids last), k1 and k2 (hashes of all words), n (words), sketch."""
     def run(batches):
         for b, w in pieces(batches, 1):
-            h = w.hashes()
             keys = text_keys(w)
-            s = order_sketches(w, h)
-            size = np.where(w.counts >= K, SKETCHES, 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(s[size > 0].reshape(-1).view(np.int64)))
+            s, size = order_sketches(w, w.hashes())
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(s.view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys[0]), pa.array(keys[1]), pa.array(w.counts), lists], ["did", "k1", "k2", "n", "sketch"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did"), F.col(text_col).alias("text"))
@@ -158,13 +171,12 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def word_arrays(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(did, k1, words): 32-bit word hashes of the documents whose id is in ids (did)."""
+    """(did, k1, words): 64-bit word hashes of the documents whose id is in ids (did)."""
     def run(batches):
         for b, w in pieces(batches, 1):
-            full = w.hashes()
-            h = (full >> np.uint64(32)).astype(np.uint32)
+            h = w.hashes()
             words = [h[w.first[i] : w.first[i + 1]].tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_keys(w, full)[0]), pa.array(words, pa.binary())], ["did", "k1", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_keys(w)[0]), pa.array(words, pa.binary())], ["did", "k1", "words"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did"), F.col(text_col).alias("text"))
     return rows.join(broadcast_if_small(ids), "did", "left_semi").mapInArrow(run, "did long, k1 long, words binary")
@@ -174,7 +186,7 @@ def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """pairs (x, y) with linked: are their texts alike?"""
     def run(batches):
         for b in batches:
-            ok = [alike(np.frombuffer(p.as_buffer(), np.uint32), np.frombuffer(q.as_buffer(), np.uint32), similarity) for p, q in zip(b.column(2), b.column(3), strict=True)]
+            ok = [alike(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), similarity) for p, q in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["x", "y", "linked"])
 
     both = pairs.join(words.select(F.col("node").alias("y"), F.col("words").alias("wy")), "y").join(words.select(F.col("node").alias("x"), F.col("words").alias("wx")), "x")
@@ -195,52 +207,95 @@ def _close_sizes(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     return both.where(F.least("nx", "ny") >= F.greatest("nx", "ny") * F.lit(similarity) - 1e-9).select("x", "y")
 
 
-def word_counts(words: DataFrame) -> DataFrame:
-    """(node, n, counts) of words (node, words): a byte for each of BINS classes of words, which stops at 255."""
-    def run(batches):
-        for b in batches:
-            w = [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column(1)]
-            counts = [np.minimum(np.bincount(x % BINS, minlength=BINS), 255).astype(np.uint8).tobytes() for x in w]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in w], pa.int64()), pa.array(counts, pa.binary())], ["node", "n", "counts"])
+def _word_counts(words: list[np.ndarray]) -> np.ndarray:
+    """For each text a byte for each of BINS classes of words, which stops at 255."""
+    return np.stack([np.minimum(np.bincount((x % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255) for x in words]).astype(np.int16)
+
+
+class _Joined:
+    """Components of numbers 0 .. n - 1 under unions."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self.up = np.unique(labels, return_inverse=True)
+        self.of = self.up.tolist()  # label of each row, as a number
+        self.up = list(range(max(self.of, default=-1) + 1))
 
-    return words.select("node", "words").mapInArrow(run, "node long, n long, counts binary")
+    def find(self, row: int) -> int:
+        x = self.of[row]
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
 
+    def union(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
 
-def possible_pairs(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (x, y) of texts of different labels in a bucket of rows (b, node, label, m) that their words don't rule out.
 
-    An edit takes at most one word from either text, so neither has more words over the other's than edits are
-    allowed. Every block of a bucket meets every other in a group of its own, so a large bucket is spread over tasks.
+def block_links(t: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links of texts in blocks p and q of bucket b that join components which were apart, each pair compared once.
+
+    t: b, p, q, block, node, label, hot (the large buckets of the node), words. A pair that also meets in a large
+    bucket with a smaller number is left to that one. An edit takes at most one word from either text, so
+    neither has more words over the other's than edits are allowed.
     """
-    def run(t: pa.Table) -> pa.Table:
-        node, label, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
-        counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-        block = t.column("block").to_numpy()
-        first = np.flatnonzero(block == t.column("p")[0].as_py())
-        second = np.flatnonzero(block == t.column("q")[0].as_py())
-        same = t.column("p")[0] == t.column("q")[0]
-        xs, ys = [], []
-        for a in range(0, len(first), 32):
-            i = first[a : a + 32]
-            longer = np.maximum(n[i][:, None], n[second])
-            ok = (label[i][:, None] != label[second]) & (np.minimum(n[i][:, None], n[second]) >= longer * similarity - 1e-9)
-            if same:
-                ok &= node[i][:, None] < node[second]
-            u, v = np.nonzero(ok)
-            x, y, most = i[u], second[v], ((1 - similarity) * longer[u, v] + 1e-9).astype(np.int64)
+    b, p, q = (t.column(c)[0].as_py() for c in ("b", "p", "q"))
+    node, label, block = (t.column(c).to_numpy() for c in ("node", "label", "block"))
+    words = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("words")]
+    n, counts = np.array([len(x) for x in words]), _word_counts(words)
+    lists = t.column("hot").combine_chunks()
+    flat, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    earlier = flat < b
+    ids, at = np.unique(flat[earlier], return_inverse=True)
+    member = np.zeros((len(node), len(ids)), dtype=np.float32)
+    member[of[earlier], at] = 1
+    first, second = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    found: list[np.ndarray] = []
+    for a in range(0, len(first), 32):
+        i = first[a : a + 32]
+        longer = np.maximum(n[i][:, None], n[second])
+        ok = (label[i][:, None] != label[second]) & (np.minimum(n[i][:, None], n[second]) >= longer * similarity - 1e-9)
+        if p == q:
+            ok &= node[i][:, None] < node[second]
+        if len(ids):
+            ok &= member[i] @ member[second].T == 0
+        u, v = np.nonzero(ok)
+        for c in range(0, len(u), 1 << 16):
+            x, y, most = i[u[c : c + (1 << 16)]], second[v[c : c + (1 << 16)]], ((1 - similarity) * longer[u, v][c : c + (1 << 16)] + 1e-9).astype(np.int64)
             more = counts[x] - counts[y]
             over = np.maximum(more, 0).sum(1)
-            fit = np.maximum(over, over - more.sum(1)) <= most
-            xs.append(node[x[fit]])
-            ys.append(node[y[fit]])
-        x, y = np.concatenate([*xs, np.zeros(0, np.int64)]), np.concatenate([*ys, np.zeros(0, np.int64)])
-        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
-
-    blocks = F.ceil(F.col("m") / BLOCK)
-    own = rows.select("b", "node", "label", blocks.alias("of"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
-    counts = word_counts(words.join(own.select("node").distinct(), "node", "left_semi"))
-    own = own.join(materialize(counts, "near-counts"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
-    met = own.select("b", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "label", "n", "counts")
+            least = np.maximum(over, over - more.sum(1))
+            fit = least <= most
+            found.append(np.stack([x, y, least * 1000 // np.maximum(most, 1)])[:, fit])
+    if not found:
+        return []
+    x, y, cost = np.concatenate(found, axis=1)
+    joined, out = _Joined(label), []
+    for i in np.argsort(cost, kind="stable").tolist():
+        a, c = int(x[i]), int(y[i])
+        if joined.find(a) != joined.find(c) and alike(words[a], words[c], similarity):
+            joined.union(a, c)
+            out.append((int(node[a]), int(node[c])))
+    return out
+
+
+def large_bucket_links(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Links (x, y) of texts of different labels in the buckets of rows (b, node, label, m).
+
+    Every block of a bucket meets every other in a group of its own, so a large bucket is spread over tasks.
+    """
+    def run(t: pa.Table) -> pa.Table:
+        links = np.array(block_links(t, similarity), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"x": links.min(axis=1, initial=LAST), "y": links.max(axis=1, initial=-1)})
+
+    own = rows.groupBy("node").agg(F.collect_list("b").alias("hot"))  # as many as a text has sketches, at most
+    own = materialize(own.join(words, "node"), "near-hot")
+    longs = rows.join(own.select("node", (F.octet_length("words") / 8).alias("n")), "node").groupBy("b").agg(F.sum("n").alias("w"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_WORDS))
+    met = rows.join(longs, "b").select("b", "node", "label", blocks.alias("of"))
+    met = met.select("b", "node", "label", F.pmod(F.xxhash64("node"), F.col("of")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("other"))
+    met = materialize(met, "near-met").join(own, "node")
+    met = met.select("b", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "label", "hot", "words")
     return met.groupBy("b", "p", "q").applyInArrow(run, "x long, y long")
 
 
@@ -253,7 +308,7 @@ def linked_classes(nodes: DataFrame, words_of, similarity: float = SIMILARITY) -
     2. Buckets that still hold several components: all pairs of texts in different ones. Small buckets (SMALL texts,
        so a few pairs a text) by a join, larger ones block by block. Links found here join components of the first step.
     """
-    rows = nodes.select("node", F.col("node").alias("label"), F.explode("sketch").alias("b"))
+    rows = nodes.select("node", F.col("node").alias("label"), F.explode(F.array_distinct("sketch")).alias("b"))
     rows = _shared(rows)
     words = materialize(words_of(rows.select("node").distinct()), "near-words")
     stars = rows.where("node <> x").select("x", F.col("node").alias("y")).distinct()
@@ -263,14 +318,15 @@ def linked_classes(nodes: DataFrame, words_of, similarity: float = SIMILARITY) -
     mixed = _shared(rows.select("b", "node", F.coalesce("label", "node").alias("label")))
 
     one, two = (mixed.where(F.col("m") <= SMALL).select("b", F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
-    few = one.join(two, "b").where("x < y AND lx <> ly").select("x", "y").distinct()
-    more = _close_sizes(few, nodes, similarity).unionByName(possible_pairs(mixed.where(F.col("m") > SMALL), words, similarity))
-    fresh = materialize(more.distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti"), "near-pairs")
-    late = materialize(verify(fresh, words, similarity).where("linked").select("x", "y"), "near-late")
+    few = materialize(one.join(two, "b").where("x < y AND lx <> ly").select("x", "y").distinct(), "near-pairs")
+    fresh = materialize(_close_sizes(few, nodes, similarity).join(tested.select("x", "y"), ["x", "y"], "left_anti"), "near-pairs")
+    late = verify(fresh, words, similarity).where("linked").select("x", "y")
+    large = mixed.where(F.col("m") > SMALL)
+    late = materialize(late.unionByName(large_bucket_links(large, words, similarity)), "near-late")
     if late.isEmpty():
         return joined
     new = late.select(F.col("x").alias("node")).unionByName(late.select(F.col("y").alias("node"))).distinct().join(joined, "node", "left_anti")
-    known = joined.unionByName(new.withColumn("label", F.col("node")))
+    known = materialize(joined.unionByName(new.withColumn("label", F.col("node"))), "near-labels")
     x, y = (known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
     over = components(late.join(x, "x").join(y, "y").select(F.col("lx").alias("x"), F.col("ly").alias("y")), "near-late")
     over = materialize(over.select(F.col("node").alias("label"), F.col("label").alias("_new")), "near-late")
