@@ -197,7 +197,7 @@ def _shared(rows: DataFrame) -> DataFrame:
     """Rows (b, node, label) of buckets that hold texts of different labels, with the bucket's size m and first node x."""
     buckets = rows.groupBy("b").agg(F.count("*").alias("m"), F.min("node").alias("x"), F.min("label").alias("_l"), F.max("label").alias("_h"))
     buckets = materialize(buckets.where("_l <> _h").select("b", "m", "x"), "near-centres")
-    return materialize(rows.join(buckets, "b"), "near-buckets")
+    return materialize(rows.join(broadcast_if_small(buckets), "b"), "near-buckets")
 
 
 def _close_sizes(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -279,7 +279,7 @@ def block_links(t: pa.Table, similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def large_bucket_links(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+def large_bucket_links(rows: DataFrame, nodes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """Links (x, y) of texts of different labels in the buckets of rows (b, node, label, m).
 
     Every block of a bucket meets every other in a group of its own, so a large bucket is spread over tasks.
@@ -288,13 +288,12 @@ def large_bucket_links(rows: DataFrame, words: DataFrame, similarity: float) ->
         links = np.array(block_links(t, similarity), dtype=np.int64).reshape(-1, 2)
         return pa.table({"x": links.min(axis=1, initial=LAST), "y": links.max(axis=1, initial=-1)})
 
-    own = rows.groupBy("node").agg(F.collect_list("b").alias("hot"))  # as many as a text has sketches, at most
-    own = materialize(own.join(words, "node"), "near-hot")
-    longs = rows.join(own.select("node", (F.octet_length("words") / 8).alias("n")), "node").groupBy("b").agg(F.sum("n").alias("w"))
+    own = materialize(rows.groupBy("node").agg(F.collect_list("b").alias("hot")), "near-hot")  # as many as a text has sketches, at most
+    longs = rows.join(nodes.select("node", "n"), "node").groupBy("b").agg(F.sum("n").alias("w"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_WORDS))
     met = rows.join(longs, "b").select("b", "node", "label", blocks.alias("of"))
     met = met.select("b", "node", "label", F.pmod(F.xxhash64("node"), F.col("of")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("other"))
-    met = materialize(met, "near-met").join(own, "node")
+    met = materialize(met, "near-met").join(own.join(words, "node"), "node")
     met = met.select("b", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "label", "hot", "words")
     return met.groupBy("b", "p", "q").applyInArrow(run, "x long, y long")
 
@@ -322,7 +321,7 @@ def linked_classes(nodes: DataFrame, words_of, similarity: float = SIMILARITY) -
     fresh = materialize(_close_sizes(few, nodes, similarity).join(tested.select("x", "y"), ["x", "y"], "left_anti"), "near-pairs")
     late = verify(fresh, words, similarity).where("linked").select("x", "y")
     large = mixed.where(F.col("m") > SMALL)
-    late = materialize(late.unionByName(large_bucket_links(large, words, similarity)), "near-late")
+    late = materialize(late.unionByName(large_bucket_links(large, nodes, words, similarity)), "near-late")
     if late.isEmpty():
         return joined
     new = late.select(F.col("x").alias("node")).unionByName(late.select(F.col("y").alias("node"))).distinct().join(joined, "node", "left_anti")
