@@ -14,7 +14,7 @@ from ..sources.scratch import scratch_dir
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows that broadcast_if_small lets through; at under 64 bytes a row that is under 32 MB.
+#: Rows that broadcast_if_small lets through; at about 100 bytes a row in the join's hash table that is 50 MB.
 BROADCAST_ROWS = 500_000
 
 

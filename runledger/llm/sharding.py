@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hash60, materialize
+from .common import BROADCAST_ROWS, hash60, materialize
 
 KEY_BITS = 62
 #: Bits of the key that the rounds resolve in turn; the first five end at the text's hash.
@@ -99,7 +99,7 @@ def exchange(rows: DataFrame, keys: DataFrame, cuts: list[int], order: list[str]
     sizes = keys.groupBy(place(F.col("key"), cuts).alias("shard"), run(F.col("key")).alias("_run")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy("shard").orderBy("_run").rowsBetween(W.unboundedPreceding, -1))
     firsts = sizes.select("shard", "_run", F.coalesce(before, F.lit(0)).alias("_first"))  # 4,096 rows a shard at most
-    dealt = rows.withColumn("shard", place(F.col("_key"), cuts)).withColumn("_run", run(F.col("_key"))).join(F.broadcast(firsts), ["shard", "_run"])
+    dealt = rows.withColumn("shard", place(F.col("_key"), cuts)).withColumn("_run", run(F.col("_key"))).join(F.broadcast(firsts) if (len(cuts) + 1) << RUN_BITS <= BROADCAST_ROWS else firsts, ["shard", "_run"])
     inside = W.partitionBy("shard", "_run").orderBy(F.col("_key").bitwiseAND(F.lit((1 << 31) - 1)), "_key", *order)
     return dealt.withColumn("slot", F.col("_first") + F.row_number().over(inside) - 1).drop("_run", "_first")
 
