@@ -1,13 +1,13 @@
 """Main text of web pages by wrappers inferred for each host.
 
-A page becomes a tree of block elements. Neighbouring siblings of the same form fold into one repeated
-group. Pages of a host are aligned one after another: matched elements merge, elements that only some pages
-have become optional, texts that differ become slots. The result, a union-free regular expression written as a
-tree, is the host's wrapper. It says which container carries the host's running text where pages don't mark one
-up, and which texts inside are the host's own template.
-
-Wrappers are merged in tasks first, then by (host, part), then by host, so a hot host reaches the last
-merge as a few wrappers, not as its pages.
+A page is a stream of tokens: tags of block elements and texts. Its neighbouring elements of one form become
+repeated groups. The streams of a host's pages are aligned one after another: what agrees is joined, what only some
+pages have becomes optional, texts that differ become slots. The result, a union-free regular expression, is the
+host's wrapper. On pages that don't mark up their main text it says which container carries the host's running text, and
+which texts inside are the host's own template.
+
+Pages of equal forms are joined in tasks, then by (host, form, part); different forms are aligned in groups of
+about FAN, round after round, so a hot host reaches the last alignment as a few wrappers, not as its pages.
 """
 
 from __future__ import annotations
@@ -16,21 +16,22 @@ import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections.abc import Iterable
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, materialize
 
-#: Wrappers a task keeps before it passes them on, and parts that a host's wrappers merge in first.
-HOSTS_IN_TASK, PARTS = 2000, 64
+#: Wrappers a task keeps before it passes them on, parts in which those of equal forms are joined first, and wrappers of different forms aligned in one group.
+FORMS_IN_TASK, PARTS, FAN = 2000, 64, 256
 #: Pages of different contents that a host must have before a text that all its pages share counts as template.
 TEMPLATE_PAGES = 5
-#: Forms that a wrapper keeps under one parent; OTHER holds the pages and the weight of all others.
-MOST_KIDS, OTHER = 256, "*"
-DEPTH = 40
+#: Optional tokens that a wrapper keeps; the lightest others become gaps.
+MOST_OPTIONAL, GAP = 4096, "?"
 #: Bytes of hosts' rules that are broadcast at most; beyond, pages and rules meet in a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -163,7 +164,10 @@ def _chain(node: Node):
         node = node.up
 
 
-# --- wrappers: [sig, pages, repeated, optional, text, chars, kids]; text is a literal (a long one's hash), or None for a slot ---
+# --- wrappers: [pages, hashes of some different contents, tokens] ---
+# A token is [form, pages, repeated, optional, text, characters]. Forms: "<sig" and ">sig" open and close an element, "#" is a text, GAP a
+# stretch of optional elements of which only the characters are kept. text is a literal (a long one's hash), or None for a slot. Marks
+# of an element stand on both its tags.
 
 def _form(text: str) -> str:
     return text if len(text) <= 200 else "\0" + hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
@@ -172,140 +176,221 @@ def _form(text: str) -> str:
 def contents(root: Node) -> str:
     """A hash of the page's texts."""
     texts: list[str] = []
-    _collect(root, "", set(), texts)
+    _collect(root, None, texts)
     return hashlib.sha256("\n".join(texts).encode("utf-8", "replace")).hexdigest()[:20]
 
 
-def fold(node: Node, depth: int = 0) -> list:
-    """A page's tree as a wrapper of one page: neighbours of the same form become one repeated group."""
-    kids: list[list] = []
-    texts, chars = [], 0
-    for p in node.parts:
+def token_stream(root: Node) -> list[list]:
+    """A page as an expression: its tokens in page order, with neighbouring elements of one form made one repeated group."""
+    out: list[list] = []
+    opened: list[int] = []
+    last: list[tuple[str, int, int] | None] = [None]  # for each open level the element closed last, with its first and next token
+    todo: list[tuple[Node | str, bool]] = [(p, False) for p in reversed(root.parts)]
+    while todo:
+        p, closing = todo.pop()
         if isinstance(p, str):
             t = " ".join(p.split())
             if t:
-                texts.append(t)
-                chars += len(t)
-        elif not p.drop and depth == DEPTH:  # only its weight counts
-            deep: list[str] = []
-            _collect(p, "", set(), deep)
-            chars += sum(map(len, deep))
+                out.append(["#", 1, False, False, _form(t), len(t)])
+        elif closing:
+            out.append([">" + p.sig, 1, False, False, None, 0])
+            start = opened.pop()
+            last.pop()
+            before = last[-1]
+            if before and before[0] == p.sig and before[2] == start:
+                group = align(out[before[1] : start], out[start:], same_page=True)
+                group[0][2] = group[-1][2] = True
+                start = before[1]
+                out[start:] = group
+            last[-1] = (p.sig, start, len(out))
         elif not p.drop:
-            k = fold(p, depth + 1)
-            if kids and kids[-1][0] == k[0]:
-                kids[-1] = merge(kids[-1], k)
-                kids[-1][1], kids[-1][2] = 1, True
-            else:
-                kids.append(k)
-    text = " ".join(texts)
-    return [node.sig, 1, False, False, _form(text), chars, kids]
+            opened.append(len(out))
+            last.append(None)
+            out.append(["<" + p.sig, 1, False, False, None, 0])
+            todo.append((p, True))
+            todo += [(x, False) for x in reversed(p.parts)]
+    return out
 
 
-def merge(a: list, b: list) -> list:
-    """Align two wrappers of elements of the same form."""
-    return [a[0], a[1] + b[1], a[2] or b[2], a[3] or b[3], a[4] if a[4] == b[4] else None, a[5] + b[5], _align(a[6], b[6])]
+def _levels(tokens: list[list]) -> tuple[list[int], dict[tuple[int, str], list[int]]]:
+    """Where the element or text that starts at a token ends; and, by the element around it (its first token) and form, the places of tokens."""
+    ends, places, around = list(range(len(tokens))), {}, [-1]
+    for i, t in enumerate(tokens):
+        places.setdefault((around[-1], t[0]), []).append(i)
+        if t[0][0] == "<":
+            around.append(i)
+        elif t[0][0] == ">":
+            ends[around.pop()] = i
+    places[-1, ">"] = [len(tokens)]
+    return ends, places
 
 
-def weight(wrapper: list) -> int:
-    """Characters in the element and below it."""
-    total, todo = 0, [wrapper]
-    while todo:
-        k = todo.pop()
-        total += k[5]
-        todo += k[6]
-    return total
-
-
-def _align(a: list[list], b: list[list]) -> list[list]:
-    """_common, of which MOST_KIDS forms stay; the lightest go into OTHER, so the parent's weight stays what it was."""
-    rest = [k for k in (*a[-1:], *b[-1:]) if k[0] == OTHER]
-    out = _common(*([k for k in x if k[0] != OTHER] for x in (a, b)))
-    while len(out) > MOST_KIDS:
-        i = min(range(len(out)), key=lambda i: (not out[i][3], weight(out[i]), out[i][0]))
-        rest.append(out.pop(i))
-    return [*out, [OTHER, sum(k[1] for k in rest), True, True, None, sum(map(weight, rest)), []]] if rest else out
-
-
-def _common(a: list[list], b: list[list]) -> list[list]:
-    """Longest common subsequence of forms; what only one side has becomes optional."""
-    if [k[0] for k in a] == [k[0] for k in b]:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merge(a[i], b[j]))
+def _next(places: list[int] | None, at: int) -> int | None:
+    i = bisect_left(places, at) if places else 0
+    return places[i] if places and i < len(places) else None
+
+
+def align(a: list[list], b: list[list], same_page: bool = False) -> list[list]:
+    """Align two expressions, of different pages or of one page's repeated elements.
+
+    Both are read from the front. Where tokens agree they become one, and texts that differ a slot. Where they don't, the
+    token of either side is looked for further on in the same element of the other, and what lies between becomes optional, on the
+    side where that is shorter; an element or text that the other side lacks is optional too.
+    """
+    def both(s: list, t: list) -> list:
+        return [s[0], max(s[1], t[1]) if same_page else s[1] + t[1], s[2] or t[2], s[3] or t[3], s[4] if s[4] == t[4] else None, s[5] + t[5]]
+
+    if len(a) == len(b) and all(s[0] == t[0] for s, t in zip(a, b, strict=True)):
+        return [both(s, t) for s, t in zip(a, b, strict=True)]
+    (ends_a, places_a), (ends_b, places_b) = _levels(a), _levels(b)
+    out: list[list] = []
+    around, i, j = [(-1, -1)], 0, 0
+    while i < len(a) or j < len(b):
+        x, y = a[i][0] if i < len(a) else ">", b[j][0] if j < len(b) else ">"
+        if x == y:
+            out.append(both(a[i], b[j]))
+            if x[0] == "<":
+                around.append((i, j))
+            elif x[0] == ">":
+                around.pop()
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*a[i][:3], True, *a[i][4:]])
-            i += 1
+            continue
+        in_a, in_b = _next(places_a.get((around[-1][0], y)), i), _next(places_b.get((around[-1][1], x)), j)
+        if in_a is None and in_b is None:
+            to_a, to_b = ends_a[i] + 1, ends_b[j] + 1
+        elif in_b is None or in_a is not None and in_a - i <= in_b - j:
+            to_a, to_b = in_a, j
         else:
-            out.append([*b[j][:3], True, *b[j][4:]])
-            j += 1
+            to_a, to_b = i, in_b
+        out += [[*t[:3], True, *t[4:]] for t in (*a[i:to_a], *b[j:to_b])]
+        i, j = to_a, to_b
     return out
 
 
-def container(wrapper: list) -> list[str]:
-    """Path of the element that holds most of the running text: down while one child has most of what is there."""
-    path, at = [], wrapper
-    while at[6]:
-        child = max(at[6], key=weight)
-        tag = child[0].split(".")[0]
-        if weight(child) < 0.6 * weight(at) or child[0] == OTHER or child[2] or tag in ("p", "ul", "ol", "table", "blockquote", "pre") or tag[0] == "h" and tag[1:].isdigit():
+def lighten(tokens: list[list]) -> list[list]:
+    """The expression with at most about MOST_OPTIONAL optional tokens: the lightest optional elements become gaps that keep their weight.
+
+    What all pages have stays whatever its length, so an expression is about as long as the shortest page at most, and MOST_OPTIONAL.
+    """
+    optional = sum(t[3] and t[0] != GAP for t in tokens)
+    if optional <= MOST_OPTIONAL:
+        return tokens
+    ends, blocks, i = _levels(tokens)[0], [], 0
+    while i < len(tokens):
+        if tokens[i][3]:
+            blocks.append((sum(t[5] for t in tokens[i : ends[i] + 1]), i, ends[i] + 1))
+            i = ends[i]
+        i += 1
+    gaps: dict[int, tuple[int, int]] = {}
+    for w, start, end in sorted(blocks):
+        if optional <= MOST_OPTIONAL // 2:
+            break
+        optional -= sum(t[0] != GAP for t in tokens[start:end])
+        gaps[start] = (end, w)
+    out, i = [], 0
+    while i < len(tokens):
+        end, w = gaps.get(i, (i + 1, tokens[i][5]))
+        t = [GAP, 1, True, True, None, w] if i in gaps else tokens[i]
+        out.append(t)
+        i = end
+    return _join_gaps(out)
+
+
+def _join_gaps(tokens: list[list]) -> list[list]:
+    out: list[list] = []
+    for t in tokens:
+        if t[0] == GAP and out and out[-1][0] == GAP:
+            out[-1] = [*out[-1][:5], out[-1][5] + t[5]]
+        else:
+            out.append(t)
+    return out
+
+
+def join_hosts(a: list, b: list) -> list:
+    """Merge what is known of a host from some pages and from others."""
+    return [a[0] + b[0], sorted({*a[1], *b[1]})[:TEMPLATE_PAGES], align(a[2], b[2])]
+
+
+def container(known: list) -> list[str]:
+    """Path of the element that holds most of the running text: down while one child has most of what is there, and the element no text of its own but the host's."""
+    _, different, tokens = known
+    weight, children, around, own = {-1: 0}, {-1: []}, [-1], set()
+    for i, t in enumerate(tokens):
+        if t[0][0] == "<":
+            children[around[-1]].append(i)
+            around.append(i)
+            weight[i], children[i] = 0, []
+        elif t[0][0] == ">":
+            done = weight[around.pop()]
+            weight[around[-1]] += done
+        else:
+            weight[around[-1]] += t[5]
+            if t[0] == "#" and (t[4] is None or len(different) < TEMPLATE_PAGES):
+                own.add(around[-1])
+    path, at = [], -1
+    while children[at] and at not in own:
+        child = max(children[at], key=lambda i: (weight[i], -i))
+        tag = tokens[child][0][1:].split(".")[0]
+        if weight[child] < 0.6 * weight[at] or tokens[child][2] or tag in ("p", "ul", "ol", "table", "blockquote", "pre") or tag[0] == "h" and tag[1:].isdigit():
             break
-        path.append(child[0])
+        path.append(tokens[child][0][1:])
         at = child
     return path
 
 
-def template_texts(wrapper: list, pages: list[str]) -> list[list]:
-    """Paths with their text where all pages of the host share it though enough of them differ (pages: hashes of contents)."""
+def template_texts(known: list) -> list[list]:
+    """Paths with their text where all pages of the host have it, once and the same, though enough of them differ."""
+    pages, different, tokens = known
     found: list[list] = []
-    todo: list[tuple[list, list[str]]] = [(wrapper, [])] if len(pages) >= TEMPLATE_PAGES else []
-    while todo:
-        k, path = todo.pop()
-        if k[2] or k[3] or k[1] != wrapper[1]:  # not once on each page
-            continue
-        if k[4] and not k[6]:
-            found.append([path, k[4]])
-        todo += [(x, [*path, x[0]]) for x in reversed(k[6])]
+    path: list[str] = []
+    bad = 0  # repeated or optional elements around
+    for t in tokens if len(different) >= TEMPLATE_PAGES else []:
+        here = bool(t[2] or t[3] or t[1] != pages)
+        if t[0][0] == "<":
+            path.append(t[0][1:])
+            bad += here
+        elif t[0][0] == ">":
+            path.pop()
+            bad -= here
+        elif t[0] == "#" and t[4] and not bad and not here:
+            found.append([list(path), t[4]])
     return found
 
 
-def join_hosts(a: list, b: list) -> list:
-    """Merge what is known of a host from some pages and from others: the wrapper, and hashes of some different contents."""
-    return [merge(a[0], b[0]), sorted({*a[1], *b[1]})[:TEMPLATE_PAGES]]
+def rules(known: list) -> str:
+    return json.dumps([container(known), template_texts(known)], ensure_ascii=False)
 
 
-def rules(known: list) -> str:
-    return json.dumps([container(known[0]), template_texts(*known)], ensure_ascii=False)
+def _trie(texts: list[list]) -> dict | None:
+    """Template texts by path, "" for those that end there."""
+    top: dict = {}
+    for path, text in texts:
+        at = top
+        for sig in path:
+            at = at.setdefault("<" + sig, {})
+        at.setdefault("", set()).add(text)
+    return top or None
 
 
 def main_text(page: str, host_rules: str | None) -> str:
     """The page's main text; blocks in page order, parted by one space."""
     root = parse(page)
     where, template = json.loads(host_rules) if host_rules else ([], [])
-    fixed = {("/".join(p), t) for p, t in template}
+    out: list[str] = []
     regions = _regions(root)
     if not regions and _open_frames(root):
         regions = _regions(root)
-    if regions:
-        fixed = set()  # what a page marks up as its main text stays whole
+    if regions:  # what a page marks up as its main text stays whole
+        for r in regions:
+            _collect(r, None, out)
     else:
-        node: Node = root
+        node, fixed = root, _trie(template)
         for sig in where:
             nxt = next((p for p in node.parts if isinstance(p, Node) and p.sig == sig and not p.drop), None)
             if nxt is None:
                 break
-            node = nxt
-        regions = [node]
-    out: list[str] = []
-    for r in regions:
-        _collect(r, "/".join([p.sig for p in reversed(list(_chain(r)))][1:]), fixed, out)
+            node, fixed = nxt, fixed and fixed.get("<" + sig)
+        _collect(node, fixed, out)
     return " ".join(" ".join(out).split())
 
 
@@ -343,16 +428,17 @@ def _regions(root: Node) -> list[Node]:
     return found["main"] or found["article"]
 
 
-def _collect(node: Node, path: str, fixed: set[tuple[str, str]], out: list[str]) -> None:
-    todo = [(p, path) for p in reversed(node.parts)]
+def _collect(node: Node, fixed: dict | None, out: list[str]) -> None:
+    """The element's texts in page order, but those that fixed (by _trie) has."""
+    todo = [(p, fixed) for p in reversed(node.parts)]
     while todo:
-        p, path = todo.pop()
+        p, fixed = todo.pop()
         if isinstance(p, str):
             t = " ".join(p.split())
-            if t and not (fixed and (path, _form(t)) in fixed):
+            if t and not (fixed and _form(t) in fixed.get("", ())):
                 out.append(t)
         elif not p.drop:
-            below = (f"{path}/{p.sig}" if path else p.sig) if fixed else ""
+            below = fixed and fixed.get("<" + p.sig)
             todo += [(x, below) for x in reversed(p.parts)]
 
 
@@ -360,44 +446,78 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _together(known: Iterable[list]) -> list:
+    known = iter(known)
+    out = next(known)
+    for w in known:
+        out = join_hosts(out, w)
+    return out
+
+
+def _aligned(known: Iterable[list]) -> list:
+    """_together for pages of different forms, which may leave many optional parts."""
+    known = iter(known)
+    out = next(known)
+    for w in known:
+        out = join_hosts(out, w)
+        out[2] = lighten(out[2])
+    return out
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, rules) for each host of pages (host, html)."""
+    """(host, rules) for each host of pages (host, html).
+
+    Pages of equal forms are joined first, which is the same in any order. Different forms are aligned in the order of their
+    hashes, in rounds of groups of about FAN, so that the result doesn't depend on how pages are dealt to tasks.
+    """
     def in_task(batches):
-        known: dict[str, list] = {}
+        known: dict[tuple[str, int], list] = {}
 
         def flush():
-            rows = list(known.items())
+            rows = [(h, f, json.dumps(w)) for (h, f), w in known.items()]
             known.clear()
-            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([json.dumps(w) for _, w in rows], pa.string())], ["host", "wrapper"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["host", "form", "wrapper"])
 
         for b in batches:
             for a in range(0, b.num_rows, 64):
                 part = b.slice(a, 64)
                 for h, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     root = parse(page or "")
-                    w = [fold(root), [contents(root)]]
-                    known[h] = join_hosts(known[h], w) if h in known else w
-                if len(known) > HOSTS_IN_TASK:
+                    tokens = token_stream(root)
+                    forms = "\n".join(f"{t[0]}{t[2]:d}{t[3]:d}" for t in tokens)
+                    key = h, int.from_bytes(hashlib.sha256(forms.encode("utf-8", "replace")).digest()[:8], "big") >> 1
+                    w = [1, [contents(root)], tokens]
+                    known[key] = join_hosts(known[key], w) if key in known else w
+                if len(known) > FORMS_IN_TASK:
                     yield flush()
         if known:
             yield flush()
 
-    def together(pdf: pd.DataFrame) -> list:
-        ws = [json.loads(w) for w in pdf["wrapper"].sort_values()]
-        out = ws[0]
-        for w in ws[1:]:
-            out = join_hosts(out, w)
-        return out
+    def by_form(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = _together(json.loads(x) for x in pdf["wrapper"])
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "form": [pdf["form"].iloc[0]], "wrapper": [json.dumps(w)]})
 
-    def by_part(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(together(pdf))]})
+    def by_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("form", kind="stable")
+        each = [_together(json.loads(x) for x in g) for _, g in pdf.groupby("form", sort=True)["wrapper"]]
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "form": [pdf["group"].iloc[0]], "wrapper": [json.dumps(_aligned(each))]})
 
     def by_host(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "rules": [rules(together(pdf))]})
-
-    parts = pages.select("host", "html").mapInArrow(in_task, "host string, wrapper string")
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)).cast("int"))
-    return parts.groupBy("host", "part").applyInPandas(by_part, "host string, wrapper string").groupBy("host").applyInPandas(by_host, "host string, rules string")
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "rules": [rules(json.loads(by_group(pdf)["wrapper"].iloc[0]))]})
+
+    schema = "host string, form long, wrapper string"
+    parts = pages.select("host", "html").mapInArrow(in_task, schema)
+    parts = parts.groupBy("host", "form", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS))).applyInPandas(by_form, schema)
+    parts = materialize(parts, "html-forms")
+    groups = parts.select("host", "form").distinct().groupBy("host").agg(F.ceil(F.count("*") / FAN).alias("groups"))
+    groups = materialize(groups, "html-groups")
+    left = groups.agg(F.max("groups")).first()[0] or 0
+    group = F.pmod("form", "groups")
+    while left > 1:
+        rows = parts.join(broadcast_if_small(groups), "host").withColumn("group", group)
+        parts = materialize(rows.groupBy("host", "group").applyInPandas(by_group, schema), "html-forms")
+        left, group = -(-left // FAN) if left > FAN else 1, F.floor(F.col("form") / FAN)
+    return parts.withColumn("group", F.lit(0).cast("long")).groupBy("host").applyInPandas(by_host, "host string, rules string")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

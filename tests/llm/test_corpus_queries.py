@@ -1,5 +1,7 @@
 """The registered queries against SQL where there is some, and the pipeline stage by stage."""
 
+from html.parser import HTMLParser
+
 import duckdb
 import pytest
 
@@ -37,6 +39,40 @@ def test_queries_without_sql_cover_their_table(spark, sf_dir):
     assert q.QUERIES["op3_html_text"](spark, sf_dir).count() == pages
 
 
+class PlainArticle(HTMLParser):
+    """The text in <article> by the standard library's parser, as the test pages mark it."""
+
+    SKIP = "script style nav aside footer form".split()
+    INLINE = "b i em strong a span u small code".split()
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skipped, self.parts = 0, 0, []
+        self.feed(page)
+        self.close()
+        self.text = " ".join("".join(self.parts).split())
+
+    def _tag(self, tag, by):
+        self.inside += by * (tag == "article")
+        self.skipped += by * (self.inside > 0 and tag in self.SKIP)
+        self.parts.append(" " * (tag not in self.INLINE))
+
+    def handle_starttag(self, tag, attrs):
+        self._tag(tag, 1)
+
+    def handle_endtag(self, tag):
+        self._tag(tag, -1)
+
+    def handle_data(self, data):
+        self.parts.append(data if self.inside and not self.skipped else "")
+
+
+def test_main_text_against_a_plain_parser(spark, sf_dir):
+    html = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    found = {r["page_id"]: r["text"] for r in q.QUERIES["op3_html_text"](spark, sf_dir).collect()}
+    assert found == {i: PlainArticle(h).text for i, h in html.items()}
+
+
 def test_stages(spark, sf_dir):
     """Each stage's decisions, worked out again from its operator's rows in plain Python."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -285,28 +285,76 @@ def test_only_what_all_differing_pages_share_is_template(spark):
     assert extracted(spark, long) == [f"text {i}" for i in range(6)]
 
 
-def test_forms_beyond_the_limit_keep_their_weight():
-    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
-    pages = [f"<body><div class=wrap><div class=u{name(i)}><p>{'article ' * 12}</p></div><div class=teaser><p>{'sibling ' * 8}</p></div></div></body>" for i in range(1500)]
-    known = html_text.fold(html_text.parse(pages[0]))
+def joined(pages):
+    known = [1, [], html_text.token_stream(html_text.parse(pages[0]))]
     for p in pages[1:]:
-        known = html_text.merge(known, html_text.fold(html_text.parse(p)))
-    assert html_text.container(known) == ["body", "div.wrap"]
-    assert html_text.weight(known) == 1500 * (12 * 8 - 1 + 8 * 8 - 1)
-
-
-def test_deep_pages():
-    assert html_text.main_text("<article>a" + "<div>" * 3000 + "deep", None) == "a deep"
+        known = html_text._aligned([known, [1, [], html_text.token_stream(html_text.parse(p))]])
+    return known[2]
 
 
-def test_wrappers_fold_repeats_and_mark_optional_parts():
-    one = html_text.fold(html_text.parse("<body><div><p>a<p>b<p>c</div><h2>same</h2></body>"))
-    two = html_text.fold(html_text.parse("<body><ul><li>x</ul><div><p>d</div><h2>same</h2></body>"))
-    (body,) = html_text.merge(one, two)[6]
-    forms = {k[0]: (k[1], k[2], k[3], k[4]) for k in body[6]}
-    assert forms["ul"][2] and not forms["div"][2] and forms["h2"] == (2, False, False, "same")
-    p = next(k for k in body[6] if k[0] == "div")[6][0]
-    assert p[0] == "p" and p[2] and p[4] is None
+def test_forms_beyond_the_limit_keep_their_weight(monkeypatch):
+    monkeypatch.setattr(html_text, "MOST_OPTIONAL", 64)
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    pages = [f"<body><div class=wrap><div class=u{name(i)}><p>{'article ' * 12}</p></div><div class=teaser><p>{'sibling ' * 8}</p></div></div></body>" for i in range(1500)]
+    known = joined(pages)
+    assert html_text.container([1500, [], known]) == ["body", "div.wrap"]
+    assert sum(t[5] for t in known) == 1500 * (12 * 8 - 1 + 8 * 8 - 1)
+    assert len(known) < 64 + 12 and {t[0] for t in known if not t[3]} >= {"<div.wrap", "<div.teaser"}
+
+
+def test_deep_pages(spark):
+    deep = "<article>a" + "<div>" * 100_000 + "deep"
+    assert html_text.main_text(deep, None) == "a deep"
+    assert extracted(spark, [deep.replace("article", "section"), "<section>a" + "<div>" * 99_000 + "less"]) == ["a deep", "a less"]
+
+
+def test_expressions_have_repeated_and_optional_parts_and_slots():
+    assert [t[:3] for t in html_text.token_stream(html_text.parse("<ul><li>a<li><b>x</b><p>y</p><li>c</ul>"))][:3] == [["<ul", 1, False], ["<li", 1, True], ["#", 1, False]]
+    known = joined(["<body><div><p>a<p>b<p>c</div><h2>same</h2></body>", "<body><ul><li>x</ul><div><p>d</div><h2>same</h2></body>"])
+    assert [t[0] for t in known] == "<body <ul <li # >li >ul <div <p # >p >div <h2 # >h2 >body".split()
+    assert [t[0] for t in known if t[3]] == "<ul <li # >li >ul".split()
+    assert [t[0] for t in known if t[2]] == ["<p", ">p"]
+    assert [t[4] for t in known if t[0] == "#"] == ["x", None, "same"] and known[11][1] == 2
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_alignment_keeps_both_sides(seed):
+    """Each side is what stays of the alignment when the other's optional tokens go; all is well nested and no character is lost."""
+    rng = random.Random(seed)
+
+    def tree(depth):
+        return "".join(rng.choice("xyz") if depth > 3 or rng.random() < 0.3 else (lambda t: f"<{t}>{tree(depth + 1)}</{t}>")(rng.choice(["div", "section", "ul"])) for _ in range(rng.randint(0, 4)))
+
+    a, b = (html_text.token_stream(html_text.parse(f"<body>{tree(0)}</body>")) for _ in range(2))
+    out = html_text.align(a, b)
+    assert sum(t[5] for t in out) == sum(t[5] for t in (*a, *b))
+    for side in (a, b):
+        forms = iter([t[0] for t in out])
+        assert all(t[0] in forms for t in side)  # in order
+    opened = []
+    for t in out:
+        if t[0][0] == "<":
+            opened.append((t[0][1:], t[1:4]))
+        elif t[0][0] == ">":
+            assert opened.pop() == (t[0][1:], t[1:4])
+    assert not opened and sum(t[1] for t in out) == len(a) + len(b)
+
+
+def test_the_wrapper_decides_on_pages_without_marks(spark):
+    page = "<body><div class=top><p>%(n)d hits</p></div><div class=story><h2>Title %(n)d</h2><p>" + "long story %(n)d " * 20 + "<blockquote>Read on in our app</blockquote></div><div class=end><p>elsewhere</p></div></body>"
+    pages = [page % {"n": i} for i in range(8)]
+    assert [html_text.main_text(p, None).split()[:2] for p in pages] == [[str(i), "hits"] for i in range(8)]
+    assert extracted(spark, pages) == [f"Title {i} " + " ".join([f"long story {i}"] * 20) for i in range(8)]
+
+
+def test_wrappers_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "FAN", 3)
+    rng = random.Random(5)
+    body = lambda i: "".join(f"<{t}>{t} {rng.choice('abc')} {i}</{t}>" for t in rng.choices(["p", "h2", "div", "blockquote", "section"], k=rng.randint(1, 6)))
+    rows = [(("one", "two")[i % 3 == 0], f"<body><div class=a>{body(i)}</div>{rng.choice(['', '<div><p>same</p></div>'])}</body>") for i in range(120)]
+    df = spark.createDataFrame(rows, "host string, html string")
+    found = [sorted(map(tuple, html_text.infer_wrappers(d).collect())) for d in (df.coalesce(1), df.repartition(7), df.orderBy(F.desc("html")))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 2
 
 
 # 4 -------------------------------------------------------------------------------------------------------------
