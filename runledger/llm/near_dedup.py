@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import BROADCAST_ROWS, broadcast_if_small, materialize
 from .components import components
 from .tokens import Words, mix64, pieces, window_hashes, windows_inside
 
@@ -340,8 +340,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated with the smallest id one is kept. An empty table gives an empty result; other columns are not read.
     """
     sketched = materialize(sketch_table(docs, id_col, text_col), "near-sketches")
-    same = sketched.groupBy("k1", "k2").agg(F.min("did").alias("node"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
-    same = materialize(same, "near-texts")
+    same = materialize(sketched.groupBy("k1", "k2").agg(F.min("did").alias("node"), F.count("*").alias("copies")), "near-ids")
+    texts = same.count()
+    # Sketches of one copy of each text only, so that they needn't go through the grouping.
+    own = F.broadcast(same) if texts <= BROADCAST_ROWS else same
+    one = sketched.withColumnRenamed("did", "node").join(own, ["k1", "k2", "node"])
+    same = materialize(one.select("k1", "k2", "node", "copies", "n", "sketch"), "near-texts")
+    if same.count() > texts:  # rows repeated with their id
+        same = materialize(same.dropDuplicates(["k1", "k2"]), "near-texts")
     # Rows that share an id though their texts differ are told apart by the text's hash.
     twice = same.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
     clash = not twice.isEmpty()
