@@ -193,9 +193,9 @@ def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     return both.select("x", "y", "wx", "wy").mapInArrow(run, "x long, y long, linked boolean")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (b, node, label) of buckets that hold texts of different labels, with the bucket's size m and first node x."""
-    buckets = rows.groupBy("b").agg(F.count("*").alias("m"), F.min("node").alias("x"), F.min("label").alias("_l"), F.max("label").alias("_h"))
+def _shared(rows: DataFrame, label: str = "label") -> DataFrame:
+    """Rows (b, node and others) of buckets that hold texts of different labels, with the bucket's size m and first node x."""
+    buckets = rows.groupBy("b").agg(F.count("*").alias("m"), F.min("node").alias("x"), F.min(label).alias("_l"), F.max(label).alias("_h"))
     buckets = materialize(buckets.where("_l <> _h").select("b", "m", "x"), "near-centres")
     return materialize(rows.join(broadcast_if_small(buckets), "b"), "near-buckets")
 
@@ -307,8 +307,7 @@ def linked_classes(nodes: DataFrame, words_of, similarity: float = SIMILARITY) -
     2. Buckets that still hold several components: all pairs of texts in different ones. Small buckets (SMALL texts,
        so a few pairs a text) by a join, larger ones block by block. Links found here join components of the first step.
     """
-    rows = nodes.select("node", F.col("node").alias("label"), F.explode(F.array_distinct("sketch")).alias("b"))
-    rows = _shared(rows)
+    rows = _shared(nodes.select("node", F.explode(F.array_distinct("sketch")).alias("b")), "node")
     words = materialize(words_of(rows.select("node").distinct()), "near-words")
     stars = rows.where("node <> x").select("x", F.col("node").alias("y")).distinct()
     tested = materialize(verify(_close_sizes(stars, nodes, similarity), words, similarity), "near-judged")
