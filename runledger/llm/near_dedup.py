@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, broadcast_if_small, materialize
 from .components import components
-from .tokens import Words, mix64, pieces, window_hashes, windows_inside
+from .tokens import Words, mix64, pieces, split_words, text_buffers, window_hashes, windows_inside
 
 K, SIMILARITY = 5, 0.8
 FUNCTIONS, TOP = 22, 3
@@ -170,33 +170,42 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "did long, k1 long, k2 long, n long, sketch array<long>")
 
 
-def word_arrays(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(did, k1, words): 64-bit word hashes of the documents whose id is in ids (did)."""
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(did, text) of the documents whose id is in ids (did). Texts take less than half the room of 64-bit hashes of their words."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did"), F.coalesce(text_col, F.lit("")).alias("text"))
+    return rows.join(broadcast_if_small(ids), "did", "left_semi")
+
+
+def keyed_texts(rows: DataFrame) -> DataFrame:
+    """(did, k1, text) for rows (did, text)."""
     def run(batches):
         for b, w in pieces(batches, 1):
-            h = w.hashes()
-            words = [h[w.first[i] : w.first[i + 1]].tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_keys(w)[0]), pa.array(words, pa.binary())], ["did", "k1", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_keys(w)[0]), b.column(1)], ["did", "k1", "text"])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did"), F.col(text_col).alias("text"))
-    return rows.join(broadcast_if_small(ids), "did", "left_semi").mapInArrow(run, "did long, k1 long, words binary")
+    return rows.mapInArrow(run, "did long, k1 long, text string")
+
+
+def word_arrays(w: Words) -> list[np.ndarray]:
+    """The 64-bit hashes of each text's words."""
+    return np.split(w.hashes(), w.first[1:-1])
 
 
-def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """pairs (x, y) with linked: are their texts alike?"""
     def run(batches):
-        for b in batches:
-            ok = [alike(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), similarity) for p, q in zip(b.column(2), b.column(3), strict=True)]
+        for b, w in pieces(batches, 2):
+            other = split_words(*text_buffers(b.column(3)))
+            ok = [alike(p, q, similarity) for p, q in zip(word_arrays(w), word_arrays(other), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["x", "y", "linked"])
 
-    both = pairs.join(words.select(F.col("node").alias("y"), F.col("words").alias("wy")), "y").join(words.select(F.col("node").alias("x"), F.col("words").alias("wx")), "x")
-    return both.select("x", "y", "wx", "wy").mapInArrow(run, "x long, y long, linked boolean")
+    both = pairs.join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y").join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
+    return both.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long, linked boolean")
 
 
-def _shared(rows: DataFrame, label: str = "label") -> DataFrame:
-    """Rows (b, node and others) of buckets that hold texts of different labels, with the bucket's size m and first node x."""
-    buckets = rows.groupBy("b").agg(F.count("*").alias("m"), F.min("node").alias("x"), F.min(label).alias("_l"), F.max(label).alias("_h"))
-    buckets = materialize(buckets.where("_l <> _h").select("b", "m", "x"), "near-centres")
+def _shared(rows: DataFrame, label: str, **figures) -> DataFrame:
+    """Rows (b, node and others) of buckets that hold texts of different labels, with figures (aggregates) of the bucket."""
+    buckets = rows.groupBy("b").agg(F.min(label).alias("_l"), F.max(label).alias("_h"), *(c.alias(name) for name, c in figures.items()))
+    buckets = materialize(buckets.where("_l <> _h").select("b", *figures), "near-centres")
     return materialize(rows.join(broadcast_if_small(buckets), "b"), "near-buckets")
 
 
@@ -235,13 +244,13 @@ class _Joined:
 def block_links(t: pa.Table, similarity: float) -> list[tuple[int, int]]:
     """Links of texts in blocks p and q of bucket b that join components which were apart, each pair compared once.
 
-    t: b, p, q, block, node, label, hot (the large buckets of the node), words. A pair that also meets in a large
+    t: b, p, q, block, node, label, hot (the large buckets of the node), text. A pair that also meets in a large
     bucket with a smaller number is left to that one. An edit takes at most one word from either text, so
     neither has more words over the other's than edits are allowed.
     """
     b, p, q = (t.column(c)[0].as_py() for c in ("b", "p", "q"))
     node, label, block = (t.column(c).to_numpy() for c in ("node", "label", "block"))
-    words = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("words")]
+    words = word_arrays(split_words(*text_buffers(t.column("text").combine_chunks())))
     n, counts = np.array([len(x) for x in words]), _word_counts(words)
     lists = t.column("hot").combine_chunks()
     flat, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
@@ -279,7 +288,7 @@ def block_links(t: pa.Table, similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def large_bucket_links(rows: DataFrame, nodes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+def large_bucket_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links (x, y) of texts of different labels in the buckets of rows (b, node, label, m).
 
     Every block of a bucket meets every other in a group of its own, so a large bucket is spread over tasks.
@@ -293,34 +302,34 @@ def large_bucket_links(rows: DataFrame, nodes: DataFrame, words: DataFrame, simi
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_WORDS))
     met = rows.join(longs, "b").select("b", "node", "label", blocks.alias("of"))
     met = met.select("b", "node", "label", F.pmod(F.xxhash64("node"), F.col("of")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("other"))
-    met = materialize(met, "near-met").join(own.join(words, "node"), "node")
-    met = met.select("b", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "label", "hot", "words")
+    met = materialize(met, "near-met").join(own.join(texts, "node"), "node")
+    met = met.select("b", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "label", "hot", "text")
     return met.groupBy("b", "p", "q").applyInArrow(run, "x long, y long")
 
 
-def linked_classes(nodes: DataFrame, words_of, similarity: float = SIMILARITY) -> DataFrame:
+def linked_classes(nodes: DataFrame, text_of, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label) for the nodes (node, n, sketch) that are linked to others: components of the links.
 
-    words_of gives (node, words) for a table (node).
+    text_of gives (node, text) for a table (node).
 
     1. Every bucket as a star around its first text.
     2. Buckets that still hold several components: all pairs of texts in different ones. Small buckets (SMALL texts,
        so a few pairs a text) by a join, larger ones block by block. Links found here join components of the first step.
     """
-    rows = _shared(nodes.select("node", F.explode(F.array_distinct("sketch")).alias("b")), "node")
-    words = materialize(words_of(rows.select("node").distinct()), "near-words")
+    rows = _shared(nodes.select("node", F.explode(F.array_distinct("sketch")).alias("b")), "node", x=F.min("node"))
+    texts = materialize(text_of(rows.select("node").distinct()), "near-words")
     stars = rows.where("node <> x").select("x", F.col("node").alias("y")).distinct()
-    tested = materialize(verify(_close_sizes(stars, nodes, similarity), words, similarity), "near-judged")
+    tested = materialize(verify(_close_sizes(stars, nodes, similarity), texts, similarity), "near-judged")
     joined = materialize(components(tested.where("linked").select("x", "y"), "near-stars"), "near-labels")
     rows = rows.select("b", "node").join(joined, "node", "left")
-    mixed = _shared(rows.select("b", "node", F.coalesce("label", "node").alias("label")))
+    mixed = _shared(rows.select("b", "node", F.coalesce("label", "node").alias("label")), "label", m=F.count("*"))
 
     one, two = (mixed.where(F.col("m") <= SMALL).select("b", F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
     few = materialize(one.join(two, "b").where("x < y AND lx <> ly").select("x", "y").distinct(), "near-pairs")
     fresh = materialize(_close_sizes(few, nodes, similarity).join(tested.select("x", "y"), ["x", "y"], "left_anti"), "near-pairs")
-    late = verify(fresh, words, similarity).where("linked").select("x", "y")
+    late = verify(fresh, texts, similarity).where("linked").select("x", "y")
     large = mixed.where(F.col("m") > SMALL)
-    late = materialize(late.unionByName(large_bucket_links(large, nodes, words, similarity)), "near-late")
+    late = materialize(late.unionByName(large_bucket_links(large, nodes, texts, similarity)), "near-late")
     if late.isEmpty():
         return joined
     new = late.select(F.col("x").alias("node")).unionByName(late.select(F.col("y").alias("node"))).distinct().join(joined, "node", "left_anti")
@@ -348,20 +357,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if same.count() > texts:  # rows repeated with their id
         same = materialize(same.dropDuplicates(["k1", "k2"]), "near-texts")
     # Rows that share an id though their texts differ are told apart by the text's hash.
-    twice = same.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
-    clash = not twice.isEmpty()
+    ids = sketched.groupBy("did").agg(F.count("*").alias("c"), *(f(k).alias(f"{k}_{i}") for k in ("k1", "k2") for i, f in enumerate((F.min, F.max))))
+    repeated, clash = ids.agg(F.coalesce(F.max(F.col("c") > 1), F.lit(False)), F.coalesce(F.max(F.expr("k1_0 <> k1_1 OR k2_0 <> k2_1")), F.lit(False))).first()
     if clash:
         same = materialize(same.withColumn("node", F.xxhash64("k1", "k2")), "near-texts")
 
-    def words_of(ids: DataFrame) -> DataFrame:
+    def text_of(ids: DataFrame) -> DataFrame:
         if not clash:
-            own = materialize(ids.select("node", F.col("node").alias("did")), "near-ids")
-            return word_arrays(docs, own.select("did"), id_col, text_col).select(F.col("did").alias("node"), "words").dropDuplicates(["node"])
+            own = materialize(ids.select(F.col("node").alias("did")), "near-ids")
+            texts = texts_of(docs, own, id_col, text_col).withColumnRenamed("did", "node")
+            return texts.dropDuplicates(["node"]) if repeated else texts
         own = sketched.join(same.select("k1", "k2", "node"), ["k1", "k2"]).join(ids, "node", "left_semi")
         own = materialize(own.groupBy("node", "k1").agg(F.min("did").alias("did")), "near-ids")
-        return word_arrays(docs, own.select("did").distinct(), id_col, text_col).join(own, ["did", "k1"]).select("node", "words").dropDuplicates(["node"])
+        return keyed_texts(texts_of(docs, own.select("did").distinct(), id_col, text_col)).join(own, ["did", "k1"]).select("node", "text").dropDuplicates(["node"])
 
-    joined = linked_classes(same.select("node", "n", "sketch"), words_of, similarity)
+    joined = linked_classes(same.select("node", "n", "sketch"), text_of, similarity)
     classes = same.select("k1", "k2", "node", "copies").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # Written first: Spark can split a large class's rows only if both sides of the join are plain exchanges.
     sizes = materialize(classes.groupBy("label").agg(F.sum("copies").alias("class_size")), "near-sizes")

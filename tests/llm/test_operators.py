@@ -767,3 +767,14 @@ def test_backtracking_equals_merging_by_rank():
             n, i = min(pairs)
             parts[i : i + 2] = [n]
         assert mine.encode_word(word) == mine.code[parts].tobytes()
+
+
+def test_an_id_shared_with_a_copy_elsewhere(spark):
+    """Row 1 and a null id stand for two texts each, of which one has its smallest id elsewhere."""
+    rng = random.Random(5)
+    base = [f"v{rng.randrange(500)}" for _ in range(60)]
+    near, far = [*base[:30], "edit", *base[31:]], [f"z{i}" for i in range(60)]
+    rows = [(1, " ".join(near)), (1, " ".join(far)), (0, " ".join(far)), (7, " ".join(base)), (None, "a b c d e f"), (None, " ".join(far))]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == Counter([(1, 1, 2), (7, 1, 2), (1, 0, 3), (0, 0, 3), (None, 0, 3), (None, None, 1)])
+    assert sum(r["kept"] for r in got) == 3
